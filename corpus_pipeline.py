@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.llm.exact_dedup import keep_first_copies
 from pagewright.llm.packing import best_fit_packing
@@ -15,6 +16,7 @@ from pagewright.llm.quality_rules import keep_quality
 from pagewright.llm.queries import WORD_TOKENIZER
 from pagewright.llm.shared import scratch_path
 from pagewright.llm.simhash_dedup import keep_one_of_each
+from pagewright.llm.substring_dedup import keep_rest
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +31,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one_of_each(docs)
 
 
+def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_rest(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return best_fit_packing(docs, public_tokenizers.path(WORD_TOKENIZER))
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("best-fit packing", packing)]
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("simhash near-dedup", near), ("substring dedup", substring), ("best-fit packing", packing)]
 
 #: Tokenizer ids and fingerprints are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

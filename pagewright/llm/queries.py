@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from pagewright.llm.chat_format import chat_format, digests_of, message_records
 from pagewright.llm.exact_dedup import exact_dedup
 from pagewright.llm.html_extract import html_extract
+from pagewright.llm.line_dedup import line_dedup
 from pagewright.llm.packing import best_fit_packing
 from pagewright.llm.piece_codec import piece_codec
 from pagewright.llm.quality_rules import STOP_WORDS, quality_rules
 from pagewright.llm.simhash_dedup import near_duplicates
+from pagewright.llm.substring_dedup import substring_dedup
 from pagewright.llm.token_counts import token_counts
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -35,6 +37,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests_of(chat_format(message_records(rows.unionByName(extra)), "conv_id", "record"), "conv_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = piece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER), digests=True)
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
@@ -64,8 +74,11 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_token_counts, op4_exact_dedup, op5_chat_format, op7_piece_codec, op8_simhash_dedup, op9_best_fit_packing, op10_html_extract)
-}
+    for f in (
+        op1_quality_rules, op2_token_counts, op3_line_dedup, op4_exact_dedup, op5_chat_format, op6_substring_dedup, op7_piece_codec,
+        op8_simhash_dedup, op9_best_fit_packing, op10_html_extract,
+    )
+}
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
 QUALITY_SQL = rf"""

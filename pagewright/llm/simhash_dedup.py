@@ -126,23 +126,28 @@ def _link(radius: int, batches):
         yield linked(tables, keys, prints, True)[0]
 
 
-def links_between(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """(a, b) links between distinct fingerprints (column fp) whose closure is that of all pairs within the radius."""
-    masks = covering_masks(radius)
-    rows = nodes.select(
-        "fp", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)))).alias("x")
-    ).select("fp", "x.t", "x.k")
+def spread_large(rows: DataFrame, item: str, bucket: int = BUCKET) -> DataFrame:
+    """Rows (t, k, item) of buckets (t, k). A bucket of more than ``bucket`` rows is replaced by the
+    pairs of its blocks: any two of its items share at least one bucket of the result."""
     named = rows.select(F.xxhash64("t", "k").alias("name"), "t", "k")
     large = stored(
         named.join(F.broadcast(frequent(named, "name").select("name")), "name", "left_semi").groupBy("t", "k").count().where(F.col("count") > bucket),
         "large-buckets",
     )
     blocks = F.ceil(F.col("count") / (bucket // 2)).cast("long")
-    marked = rows.join(F.broadcast(large), ["t", "k"], "left").withColumn("n", F.coalesce(blocks, F.lit(1)))
-    block = F.pmod(F.xxhash64("fp"), F.col("n"))
-    dealt = marked.withColumn("b", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    marked = rows.join(F.broadcast(large), ["t", "k"], "left").withColumn("n", F.coalesce(blocks, F.lit(1).cast("long")))
+    dealt = marked.withColumn("b", F.pmod(F.xxhash64(item), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pair = F.when(F.col("n") == 1, F.col("t")).otherwise(F.xxhash64("t", F.least("b", "other"), F.greatest("b", "other")))
-    placed = dealt.select(pair.alias("t"), "k", "fp").repartition("t", "k").sortWithinPartitions("t", "k")
+    return dealt.select(pair.alias("t"), "k", item)
+
+
+def links_between(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
+    """(a, b) links between distinct fingerprints (column fp) whose closure is that of all pairs within the radius."""
+    masks = covering_masks(radius)
+    rows = nodes.select(
+        "fp", F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)))).alias("x")
+    ).select("fp", "x.t", "x.k")
+    placed = spread_large(rows, "fp", bucket).repartition("t", "k").sortWithinPartitions("t", "k")
     return placed.mapInArrow(functools.partial(_link, radius), "a long, b long").distinct()
 
 
