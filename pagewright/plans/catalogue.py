@@ -11,7 +11,7 @@ from pagewright.functions import text as T
 from pagewright.operators import info, mapping, match, render, select, validate
 from pagewright.plans import synth
 from pagewright.sources import config as config_io
-from pagewright.sources import rtf
+from pagewright.sources import docx, rtf
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -583,3 +583,72 @@ def image_detect_extract(spark, sf_dir):
     group = F.concat(F.lit("{\\pict\\pngblip\\picwgoal"), (F.col("n_nationkey") * 100).cast("string"), F.lit("\\pichgoal900\n"), digits, F.lit("\n}"))
     texts = nation.select(F.col("n_name").alias("doc_id"), F.concat(F.lit("{\\rtf1\\sectd "), group, F.lit("}")).alias("text"))
     return rtf.images(texts).select("doc_id", F.hex("png").alias("png"), "width_twips", "height_twips")
+
+
+def template_bytes(names: list[str], width: int | None = 12240) -> bytes:
+    """A Word template with a paragraph for each bookmark."""
+    import io
+    import zipfile
+
+    from xml.sax.saxutils import quoteattr
+
+    w = f'xmlns:w="{render.W_NS}"'
+    marks = "".join(f'<w:p><w:bookmarkStart w:id="{i}" w:name={quoteattr(n)}/><w:bookmarkEnd w:id="{i}"/></w:p>' for i, n in enumerate(names))
+    section = "" if width is None else f'<w:sectPr><w:pgSz w:w="{width}" w:h="15840"/><w:pgMar w:left="1440" w:right="1440"/></w:sectPr>'
+    parts = {
+        docx.TYPES: f'<Types xmlns="{docx.CT_NS}"><Default Extension="xml" ContentType="application/xml"/></Types>',
+        docx.DOCUMENT: f"<w:document {w}><w:body>{marks}{section}</w:body></w:document>",
+        docx.RELS: f'<Relationships xmlns="{docx.REL_NS}"/>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def nation_template(spark, sf_dir) -> DataFrame:
+    """One template whose bookmarks are the nations' names, with a hidden one; the names of 25
+    nations are a fixed-size list."""
+    names = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    return spark.createDataFrame([("t.docx", template_bytes(["_GoBack", *names]))], "docx_id string, content binary")
+
+
+@query("SELECT 't.docx' AS docx_id, n_nationkey + 2 AS ord, n_name AS name, (n_nationkey + 1)::VARCHAR AS id FROM nation")
+def docx_bookmarks(spark, sf_dir):
+    return docx.bookmarks(nation_template(spark, sf_dir))
+
+
+@query("SELECT 't.docx' AS docx_id, (12240 - 2880) * 635 AS emu, 12240 - 2880 AS twips UNION ALL SELECT 'plain.docx', 5486400, 8640")
+def docx_text_width(spark, sf_dir):
+    plain = spark.createDataFrame([("plain.docx", template_bytes(["B"], None))], "docx_id string, content binary")
+    return docx.text_widths(nation_template(spark, sf_dir).unionByName(plain))
+
+
+GENERATED = """SELECT s_suppkey::INTEGER AS row_id, CASE s_suppkey % 4 WHEN 0 THEN 'xml_inject_failed' WHEN 1 THEN NULL WHEN 2 THEN 'rtf_unreadable' END AS kind,
+CASE s_suppkey % 4 WHEN 0 THEN 'Failed to inject table at bookmark ''' || s_name || '''. Bookmark ''' || s_name || ''' not found in the Word document.'
+WHEN 2 THEN 'Cannot read RTF file ''' || s_name || '''. file not found in RTF folder' END AS message FROM supplier WHERE s_suppkey % 4 <> 3"""
+
+
+def generated(spark, sf_dir) -> DataFrame:
+    """All suppliers mapped to their nations' bookmarks, with each kind of failure."""
+    s, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    k = F.col("s_suppkey") % 4
+    cfg = s.join(nation, s["s_nationkey"] == nation["n_nationkey"]).select(
+        F.col("s_suppkey").cast("int").alias("row_id"), F.when(k == 0, F.col("s_name")).otherwise(F.col("n_name")).alias("bookmark"),
+        F.when(k == 2, F.col("s_name")).when(k == 3, "").otherwise("orders").alias("table"),
+    )
+    selections = spark.createDataFrame([], "row_id int, doc_id string, excluded_cols array<int>, excluded_rows array<int>, excluded_header_rows array<int>, parameters array<string>, timelines array<string>")
+    texts = synth.orders_report(table(spark, sf_dir, "orders")).select("doc_id", F.lit("/reports/orders.rtf").alias("path"), "text")
+    return docx.generate(nation_template(spark, sf_dir), cfg, texts, selections)
+
+
+@query(GENERATED)
+def generate_docx_status(spark, sf_dir):
+    return docx.status_of(generated(spark, sf_dir)).select("row_id", "kind", "message")
+
+
+@query()
+def generate_docx(spark, sf_dir):
+    """The written documents' sizes; their bytes are checked by tests."""
+    return generated(spark, sf_dir).select("docx_id", (F.length("content") > 0).alias("has_content"), F.size("status").alias("n_rows"))
