@@ -652,3 +652,19 @@ def generate_docx_status(spark, sf_dir):
 def generate_docx(spark, sf_dir):
     """The written documents' sizes; their bytes are checked by tests."""
     return generated(spark, sf_dir).select("docx_id", (F.length("content") > 0).alias("has_content"), F.size("status").alias("n_rows"))
+
+
+LINES_SQL = """SELECT 'supplier ' || l_suppkey AS doc_id, l_returnflag AS parameter, count(*) AS n_rows, sum(length(l_orderkey::VARCHAR) + length(l_linenumber::VARCHAR) + length(l_linestatus))::BIGINT AS n_chars
+FROM lineitem GROUP BY ALL"""
+
+
+@query(LINES_SQL)
+def lex_line_items(spark, sf_dir):
+    """All line items as one report for each supplier, lexed again: the lexer's throughput."""
+    items = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("doc_id"), F.col("l_returnflag").alias("parameter"), F.lit("data").alias("kind"),
+        F.struct("l_orderkey", "l_linenumber").alias("line"), F.array(F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "l_linestatus").alias("cells"),
+    ).withColumn("page_no", F.ascii("parameter"))
+    rows = rtf.rows_of(rtf.lex(synth.report_from_lines(items, (1500, 800, 800))))
+    chars = F.aggregate("cells", F.lit(0), lambda n, c: n + F.length(c["text"]))
+    return rows.groupBy("doc_id", "parameter").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(chars).alias("n_chars"))
