@@ -2,8 +2,8 @@
 
 Each step rewires links toward smaller nodes with joins and partial aggregates, and writes the
 links to the shared folder, so lineage stays short and nothing is collected: the driver sees a
-count and a checksum of the links. A hub's rows are on the row side of an inner join, which
-adaptive execution may split.
+count and a checksum of the links. The smallest neighbours are written too, so that a hub's rows
+meet them in a plain join, which adaptive execution may split.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     was = _sum(links)
     while was[0]:
         both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m"))
+        least = stored(both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m")), "least")
         large = (
             both.where(F.col("lo") > F.col("hi")).join(least, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         )

@@ -104,6 +104,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = stored(docs.mapInArrow(_digests, f"digest binary, id {kind}, h long, k int"), "chunks")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "k")
     again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("win")).where(F.col("n") > 1).drop("n")
+    again = stored(again, "again")  # a plain join side: a digest of many rows may be split
     candidates = found.join(again, "digest").select("id", "h", F.struct("digest", "k", (place == F.col("win")).alias("first")).alias("w"))
     wanted = candidates.groupBy(F.col("id").alias("wid"), F.col("h").alias("wh")).agg(F.collect_set("w").alias("wanted"))
 
@@ -112,7 +113,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     shape = f"digest binary, id {kind}, h long, k int, first boolean, data string"
     data = stored(docs.join(wanted.hint("shuffle_hash"), same("wid", "wh")).select("id", "h", "text", "wanted").mapInArrow(_bytes, shape), "bytes")
-    kept = data.where("first").groupBy("digest").agg(F.min("data").alias("kept"))
+    kept = stored(data.where("first").groupBy("digest").agg(F.min("data").alias("kept")), "kept")
     gone = (
         data.where("not first").join(kept, "digest").where(F.col("data") == F.col("kept"))
         .groupBy(F.col("id").alias("gid"), F.col("h").alias("gh")).agg(F.collect_set("k").alias("gone"))

@@ -311,7 +311,7 @@ def removals(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     bits, again = bitmap(repeated.unionByName(colliding.select("u")), "u"), bitmap(repeated, "u")
     shape = f"u long, id {kind}, h long, a int, z int, words string, before binary, after binary"
     members = stored(docs.mapInArrow(functools.partial(_members, bits, again), shape), "members")
-    texts = members.join(colliding.select("u").distinct(), "u", "left_semi").groupBy("u").agg(F.min("words").alias("words"))
+    texts = members.groupBy("u").agg(F.min("words").alias("words")).join(colliding.select("u").distinct(), "u", "left_semi")
     buckets = spread_large(colliding.select(F.lit(0).cast("long").alias("t"), "k", "u"), "u", bucket).join(texts, "u")
     links = buckets.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_verified, "a long, b long").distinct()
     clusters = connected_components(links).select(F.col("node").alias("u"), F.col("root").alias("c"))
@@ -319,6 +319,7 @@ def removals(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     around = F.struct(place.alias("place"), F.col("before"), F.col("after"))
     first = placed.groupBy("c").agg(F.min_by(around, place).alias("f"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     first = first.select("c", F.col("f.place").alias("first"), F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after"))
+    first = stored(first, "first")  # a plain join side: a cluster of many rows may be split
     later = placed.join(first, "c").where(place != F.col("first")).select("id", "h", "a", "z", "before", "after", "first_before", "first_after", F.col("first.id").alias("keep_id"))
     spans = later.mapInArrow(_spans, f"id {kind}, h long, a int, z int, keep_id {kind}")
     return spans.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "z", "keep_id"))).alias("spans"))
