@@ -209,14 +209,15 @@ def xml_rows(combined: DataFrame) -> DataFrame:
     return rows.withColumns({"xml": markup, "ragged": F.exists("shown", lambda c: c.isNull())})
 
 
-def xml_tables(combined: DataFrame, item: Sequence[str] = ("doc_id",), text_width: Column | None = None) -> DataFrame:
-    """(item, xml, error): a ``w:tbl`` for each item, as wide as ``text_width`` twips if given. A
-    table with a row too short for its columns has no xml but an error."""
+def xml_tables(combined: DataFrame, item: Sequence[str] = ("doc_id",), text_width: str | None = None) -> DataFrame:
+    """(item, xml, error): a ``w:tbl`` for each item, as wide as its column ``text_width`` says in
+    twips, if one is given. A table with a row too short for its columns has no xml but an error."""
+    given = F.lit(None).cast("long") if text_width is None else F.col(text_width).cast("long")
     parts = xml_rows(combined).groupBy(*item).agg(
-        _joined("header", "xml").alias("head"), _joined("data", "xml").alias("body"), F.first("shown_widths").alias("w"), F.max("ragged").alias("ragged")
-    )
-    given = F.lit(None).cast("long") if text_width is None else text_width
-    parts = parts.withColumn("w", scale_widths(F.col("w"), given))
+        _joined("header", "xml").alias("head"), _joined("data", "xml").alias("body"),
+        F.first("shown_widths").alias("w"), F.max("ragged").alias("ragged"), F.first(given).alias("given"),
+    )
+    parts = parts.withColumn("w", scale_widths(F.col("w"), F.col("given")))
     total = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + w)
     grid = F.array_join(F.transform("w", lambda w: F.format_string('<w:gridCol w:w="%d"/>', w)), "")
     table = F.concat(
@@ -226,5 +227,5 @@ def xml_tables(combined: DataFrame, item: Sequence[str] = ("doc_id",), text_widt
     return parts.select(*item, F.when(~F.col("ragged"), table).alias("xml"), F.when(F.col("ragged"), "a row has fewer cells than the table has columns").alias("error"))
 
 
-def output_xml(pages: DataFrame, rows: DataFrame, selections: DataFrame, text_width: Column | None = None) -> DataFrame:
-    return xml_tables(prepare(pages, rows, selections), ("row_id", "doc_id"), text_width)
+def output_xml(pages: DataFrame, rows: DataFrame, selections: DataFrame, item: Sequence[str] = ("row_id", "doc_id"), text_width: str | None = None) -> DataFrame:
+    return xml_tables(prepare(pages, rows, selections, item), item, text_width)

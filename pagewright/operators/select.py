@@ -55,11 +55,11 @@ def select_by(df: DataFrame, selections: DataFrame) -> DataFrame:
     return joined.where(F.col("parameter").isNull() | (F.size(params) == 0) | F.array_contains(params, F.col("parameter")))
 
 
-def timelines_by(rows: DataFrame) -> DataFrame:
+def timelines_by(rows: DataFrame, item: Sequence[str] = ("row_id", "doc_id")) -> DataFrame:
     """As ``filter_timelines``, with each row's own list in ``timelines``."""
     lines = F.coalesce("timelines", F.array().cast("array<string>"))
     wanted = F.col("timeline").isNull() | F.col("is_header") | (F.size(lines) == 0) | F.array_contains(lines, F.col("timeline"))
-    return with_timeline(rows, ("row_id", "doc_id")).where(wanted).drop("timeline")
+    return with_timeline(rows, item).where(wanted).drop("timeline")
 
 
 def combine(pages: DataFrame, rows: DataFrame, item: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -143,10 +143,8 @@ def exclude(combined: DataFrame, item: Sequence[str] = ("doc_id",)) -> DataFrame
     return renumbered(kept, item).withColumn("cols", included_cols(F.col("widths"), F.col("excluded_cols")))
 
 
-def prepare(pages: DataFrame, rows: DataFrame, selections: DataFrame) -> DataFrame:
+def prepare(pages: DataFrame, rows: DataFrame, selections: DataFrame, item: Sequence[str] = ("row_id", "doc_id")) -> DataFrame:
     """All of a selection: pages by parameter, rows by timeline, one table, exclusions."""
-    item = ("row_id", "doc_id")
-    mine = selections.select("row_id", "doc_id", "parameters")
-    kept_pages = select_by(pages, mine)
-    kept_rows = timelines_by(select_by(rows, selections))
-    return exclude(with_columns_of(combine(kept_pages, kept_rows, item), item), item)
+    mine = selections.select(*item, "parameters")
+    kept_rows = timelines_by(select_by(rows, selections), item)
+    return exclude(with_columns_of(combine(select_by(pages, mine), kept_rows, item), item), item)
