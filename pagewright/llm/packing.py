@@ -86,12 +86,12 @@ def released(free: list[int], bound: int) -> set[int]:
 
 
 def _cut(path: str, length: int, batches):
-    encode = word_bpe.table(path).encode
+    encode_all = word_bpe.table(path).encode_all
     end = END.to_bytes(4, "little")
     for b in batches:
         ids, rows = b.column("id").to_pylist(), ([], [], [], [], [])
-        for doc, text in zip(ids, b.column("text").to_pylist()):
-            data = encode(text) + end
+        for doc, data in zip(ids, encode_all(b.column("text").to_pylist())):
+            data += end
             for k, start in enumerate(range(0, len(data) // 4, length)):
                 part = data[4 * start : 4 * (start + length)]
                 for into, value in zip(rows, (doc, k, start, len(part) // 4, zlib.crc32(part))):

@@ -44,18 +44,17 @@ def _pieces(path: str):
 
 
 def counter(path: str):
-    """text -> tokens, without begin, end or added special tokens."""
+    """texts -> tokens of each, without begin, end or added special tokens."""
     if path.endswith(".model"):
         model = _pieces(path)
-        return lambda text: len(model.encode(text))
-    return word_bpe.table(path).count
+        return lambda texts: list(map(len, model.encode(texts, num_threads=1)))
+    return word_bpe.table(path).counts
 
 
 def _encode(path: str, batches):
     count = counter(path)
     for b in batches:
-        texts = b.column("text").to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([count(t) for t in texts], pa.int64())], names=["digest", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(count(b.column("text").to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
 
 def open_cache(spark: SparkSession, cache: str, version: str) -> DataFrame:
