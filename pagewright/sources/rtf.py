@@ -185,5 +185,11 @@ class RtfReportSource(DataSource):
         return _RtfReader(self.options)
 
 
+def _cell_texts(raw):
+    return raw.map(lambda r: None if r is None else lexer.cell_text(r))
+
+
 def register(spark: SparkSession) -> None:
+    """The ``rtf_report`` source, and ``cell_text(raw)`` for SQL."""
     spark.dataSource.register(RtfReportSource)
+    spark.udf.register("cell_text", F.pandas_udf(_cell_texts, "string"))

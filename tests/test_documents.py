@@ -28,6 +28,7 @@ def test_folder(spark, tmp_path):
     assert lexed == {("t_14.1", 1): 6, ("t_14.1", 2): 4, ("latin", 1): 1}
     assert rtf.rows_of(rtf.lex(texts)).where("doc_id = 'latin'").first().cells[0].text == "café"
     rtf.register(spark)
+    assert spark.sql(r"SELECT cell_text(r'{\b Bold}') AS t").first().t == "Bold"
     source = spark.read.format("rtf_report").load(str(tmp_path))
     assert sorted(source.select("doc_id", "page_no").collect()) == sorted(rtf.lex(texts).select("doc_id", "page_no").collect())
 
