@@ -27,8 +27,8 @@ def frequent(df: DataFrame, key: str, tracked: int = TRACKED, top: int = 256, gr
         .select(F.col(key).alias("k"), part.alias("g"))
         .groupBy("g")
         .agg(F.expr(f"approx_top_k_accumulate(k, {tracked})").alias("s"))
+        .groupBy(F.lit("all"))  # unlike a global aggregate it makes no summary of an empty partition
         .agg(F.expr(f"approx_top_k_combine(s, {tracked})").alias("s"))
-        .where(F.col("s").isNotNull())
     )
     return summary.select(F.explode(F.expr(f"approx_top_k_estimate(s, {top})")).alias("e")).select(
         F.col("e.item").alias(key), F.col("e.count").alias("estimate")
