@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARROW_ROWS = 512
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,10 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds: long texts make the default of 10,000 rows too large."""
+    """Bound what one Arrow batch holds, by rows and, for very long texts, by bytes."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def let(value: Column, body) -> Column:

@@ -117,3 +117,19 @@ def test_pipeline(spark, tmp_path):
     assert sum(text.count(" ".join(p)) > 1 for p in passages) == 0 and sum(" ".join(p) in text for p in passages) == len(passages)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(kept[3])
+
+
+def test_batches_are_bound_by_bytes(spark):
+    from pagewright.llm.shared import ARROW_BYTES, small_batches
+
+    small_batches(spark)
+    df = spark.range(8).selectExpr("id", "repeat('x', 3000000) AS t").coalesce(1)
+    sizes = [r.n for r in df.mapInArrow(_count_rows, "n long").collect()]
+    assert sum(sizes) == 8 and max(sizes) * 3_000_000 <= 2 * ARROW_BYTES
+
+
+def _count_rows(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
