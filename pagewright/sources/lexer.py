@@ -102,13 +102,15 @@ def _without_destinations(text: str) -> str:
 
 def cell_text(raw: str, decode_escapes: bool = False) -> str:
     """The plain text of a cell."""
-    text = _without_destinations(unescape(raw) if decode_escapes else raw)
-    for _ in range(PASSES):
-        text, changed = _INNERMOST.subn(lambda m: _WORD.sub("", m[1]), text)
-        if not changed:
-            break
+    text = unescape(raw) if decode_escapes else raw
+    if "{" in text:
+        text = _without_destinations(text)
+        for _ in range(PASSES):
+            text, changed = _INNERMOST.subn(lambda m: _WORD.sub("", m[1]), text)
+            if not changed:
+                break
     text = _BRACE.sub("", _WORD_OR_SYMBOL.sub("", text))
-    return unescape(text).strip(BLANK)
+    return (unescape(text) if "\\" in text else text).strip(BLANK)
 
 
 def split_pages(text: str) -> list[str]:
@@ -122,9 +124,11 @@ def parse_row(text: str, decode_escapes: bool = False) -> dict:
         raise LexError("parse_row", "a row defines no cell")
     stops = [int(m[1]) for m in edges]
     widths = [b - a for a, b in zip([0, *stops], stops)]
-    segments = [text[a:b] for a, b in zip([0, *(m.start() for m in edges)], (m.start() + 1 for m in edges))]
-    firsts = [bool(_FIRST.search(s)) for s in segments]
-    conts = [bool(_CONTINUED.search(s)) for s in segments]
+    firsts = conts = [False] * len(edges)
+    if "\\clm" in text:
+        segments = [text[a:b] for a, b in zip([0, *(m.start() for m in edges)], (m.start() + 1 for m in edges))]
+        firsts = [bool(_FIRST.search(s)) for s in segments]
+        conts = [bool(_CONTINUED.search(s)) for s in segments]
     chunks = _CELL_END.split(text)
     chunks = chunks[:-1] if len(chunks) > 1 else chunks
     filled = [c for c in chunks if c.strip(BLANK)]
