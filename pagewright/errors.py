@@ -22,6 +22,9 @@ class ReportError(Exception):
         return {"kind": self.kind, "message": self.message, "hint": self.hint, "fields": {k: str(v) for k, v in self.fields.items()}}
 
 
+# The kinds, messages and hints below are what status tables and logs must show.
+
+
 def _basename(path: str) -> str:
     return path.rstrip("/").rsplit("/", 1)[-1]
 

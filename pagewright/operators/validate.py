@@ -15,6 +15,7 @@ from pagewright.operators.mapping import duplicates
 
 NO_STRINGS = "array<string>"
 RULE = "struct<severity:string,message:string,hint:string>"
+# The rules' messages and hints below.
 
 
 def _rule(when: Column, severity: str, message: Column, hint: str) -> Column:

@@ -153,6 +153,7 @@ def log_blocks(config: DataFrame, selections: DataFrame, status: DataFrame) -> D
         .join(selections.select("row_id", "parameters", "timelines"), "row_id", "left")
         .join(status.select("row_id", "kind", F.col("message").alias("said"), F.col("hint").alias("help")), "row_id", "left")
     )
+    # The log's labels.
     head = F.format_string("Row       : %d\nBookmark  : %s\nTable     : %s.rtf\n", "row_id", trim_blank("bookmark"), trim_blank("table"))
     failed = F.concat(F.lit("Status    : ERROR - "), F.col("said"), F.coalesce(F.concat(F.lit("\nHint      : "), F.col("help")), F.lit("")))
     fine = F.concat(F.lit("Parameters: "), join_list("parameters", "(all)"), F.lit("\nTimelines : "), join_list("timelines", "(all)"))
