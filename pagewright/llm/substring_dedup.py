@@ -16,7 +16,7 @@ depend on the words around them only, so a passage is cut alike wherever it stan
    and place, stays. The others are extended word by word while the words before and after equal
    those around the first one; joined spans of ``PASSAGE`` words or more are cut out.
 
-Words are compared after lower-casing. Two bitmaps of fixed size (see ``membership``) keep rows
+Words are ``[^\\x20\\x09-\\x0D]+`` and compared after lower-casing A-Z. Two bitmaps of fixed size (see ``membership``) keep rows
 without a partner out of the later shuffles; texts without a removal never shuffle.
 
 Defined cases: null texts are empty and stay null when kept; texts of fewer than ``LEAST`` words
@@ -48,25 +48,35 @@ BANDS, ROWS = 4, 2
 PASSAGE = 50
 AROUND = 32
 BUCKET = 2048
-WORD_ROWS = 300_000
 SEEN_ROWS = 400_000
-WORD = re.compile(r"\S+")
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PERMUTE = [(np.uint64(xxhash.xxh64_intdigest(b"a%d" % i) | 1), np.uint64(xxhash.xxh64_intdigest(b"b%d" % i))) for i in range(BANDS * ROWS)]
 
 
-class _Hashes(dict):
-    """word -> 64-bit hash; emptied when full."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.array([xxhash.xxh64_intdigest(bytes([i]), 7) for i in range(256)], np.uint64)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_ROWS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-        return h
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the multiplier and of its inverse, kept as far as a batch needs them."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((_M1, _INVERSE)):
+            row = np.full(n, x, np.uint64)
+            row[0] = 1
+            _powers[k] = np.cumprod(row, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
 
-_hashes = _Hashes()
+
+def _sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each range, a hash that depends on its values and their order."""
+    power, back = powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[:-1], dtype=np.uint64, out=total[1:])
+    return _mixed((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -88,17 +98,17 @@ class Paragraphs:
     ``a`` and ``z``: its words, from and to, within the text."""
 
     def __init__(self, texts: list[str]):
-        words: list[str] = []
-        counts = []
-        for t in texts:
-            w = t.lower().split()
-            counts.append(len(w))
-            words += w
-        n = len(words)
-        self.words = words
-        self.counts = np.array(counts, np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.counts)[:-1])) if counts else np.empty(0, np.int64)
-        self.hash = x = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+        raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+        self.data = b" ".join(raw) + b" "
+        byte = np.frombuffer(self.data, np.uint8)
+        space = _SPACE[byte]
+        self.starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        self.ends = np.flatnonzero(space & np.concatenate(([False], ~space[:-1])))
+        n = len(self.starts)
+        begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        places = np.searchsorted(self.starts, begin)
+        self.first, self.counts = places[:-1], np.diff(places)
+        self.hash = x = _sums(_BYTE[byte], self.starts, self.ends)
         own = np.repeat(np.arange(len(texts)), self.counts)
         place = np.arange(n) - self.first[own] if n else np.empty(0, np.int64)
         left = self.counts[own] - place if n else place
@@ -125,12 +135,7 @@ class Paragraphs:
         """64 bits that depend on all words and their order."""
         if not len(self.start):
             return np.empty(0, np.uint64)
-        i = np.arange(len(self.hash), dtype=np.uint64)
-        power = np.cumprod(np.where(i > 0, _M1, np.uint64(1)), dtype=np.uint64)
-        back = np.cumprod(np.where(i > 0, _INVERSE, np.uint64(1)), dtype=np.uint64)
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mixed(self.hash) * power, dtype=np.uint64)))
-        value = (total[self.end] - total[self.start]) * back[self.start]
-        return _mixed(value + (self.end - self.start).astype(np.uint64))
+        return _sums(self.hash, self.start, self.end)
 
     def bands(self) -> list[np.ndarray]:
         """For each band, the paragraphs' keys."""
@@ -142,15 +147,21 @@ class Paragraphs:
         return [functools.reduce(lambda k, v: _mixed(k * _M1 + v), least[i * ROWS : (i + 1) * ROWS]) for i in range(BANDS)]
 
     def text(self, i: int) -> str:
-        return " ".join(self.words[self.start[i] : self.end[i]])
+        part = self.data[self.starts[self.start[i]] : self.ends[self.end[i] - 1]]
+        return b" ".join(part.split()).decode("utf-8", "replace")
+
+    def before(self, i: int) -> bytes:
+        """32-bit hashes of up to ``AROUND`` words before, nearest first."""
+        low = max(self.first[self.doc[i]], self.start[i] - AROUND)
+        return self.short[low : self.start[i]][::-1].tobytes()
 
-    def around(self, i: int) -> tuple[bytes, bytes]:
-        """32-bit hashes of up to ``AROUND`` words before (nearest first) and after."""
+    def after(self, i: int) -> bytes:
         d = self.doc[i]
-        low, high = self.first[d], self.first[d] + self.counts[d]
-        small = (self.hash[max(low, self.start[i] - AROUND) : self.start[i]] >> np.uint64(32)).astype("<u4")[::-1]
-        after = (self.hash[self.end[i] : min(high, self.end[i] + AROUND)] >> np.uint64(32)).astype("<u4")
-        return small.tobytes(), after.tobytes()
+        return self.short[self.end[i] : min(self.first[d] + self.counts[d], self.end[i] + AROUND)].tobytes()
+
+    @functools.cached_property
+    def short(self) -> np.ndarray:
+        return (self.hash >> np.uint64(32)).astype("<u4")
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -211,28 +222,26 @@ def _several(batches):
         yield out
 
 
-def _members(bits, again, batches):
-    """Paragraphs that may have a partner, with their words and what stands around them."""
+def _members(colliding, repeated, batches):
+    """Paragraphs that may have a partner: the words of those that may collide, and what stands
+    around them where the neighbour does not repeat as a whole."""
     for b in batches:
         p = Paragraphs(b.column("text").to_pylist())
         u = p.identity()
-        near = maybe(bits.value, u)
-        at = np.flatnonzero(near)
+        met, twin = maybe(colliding.value, u), maybe(repeated.value, u)
+        at = np.flatnonzero(met | twin)
         if not len(at):
             continue
         joined = (p.doc[:-1] == p.doc[1:]) & (p.end[:-1] == p.start[1:])
-        # what stands around matters only where the neighbour does not repeat as a whole
-        twin = maybe(again.value, u)
-        before = np.concatenate(([True], ~(joined & twin[:-1])))
-        after = np.concatenate((~(joined & twin[1:]), [True]))
-        around = [p.around(i) for i in at.tolist()]
-        rows = pa.array(p.doc[at])
+        before = np.concatenate(([True], ~(joined & twin[:-1])))[at].tolist()
+        after = np.concatenate((~(joined & twin[1:]), [True]))[at].tolist()
+        rows, places = pa.array(p.doc[at]), at.tolist()
         yield pa.RecordBatch.from_arrays(
             [
                 _long(u[at]), b.column("id").take(rows), b.column("h").take(rows), pa.array(p.a[at].astype(np.int32)), pa.array(p.z[at].astype(np.int32)),
-                pa.array([p.text(i) for i in at.tolist()]),
-                pa.array([x if w else b"" for (x, _), w in zip(around, before[at])], pa.binary()),
-                pa.array([x if w else b"" for (_, x), w in zip(around, after[at])], pa.binary()),
+                pa.array([p.text(i) if m else None for i, m in zip(places, met[at].tolist())], pa.string()),
+                pa.array([p.before(i) if w else b"" for i, w in zip(places, before)], pa.binary()),
+                pa.array([p.after(i) if w else b"" for i, w in zip(places, after)], pa.binary()),
             ],
             names=["u", "id", "h", "a", "z", "words", "before", "after"],
         )
@@ -308,10 +317,10 @@ def removals(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     repeated = stored(counted.where(F.col("n") > 1).select("u"), "repeated")
     rows = docs.select("id", "h", "text").mapInArrow(_bands, "k long, u long")
     colliding = stored(rows.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_several, "k long, u long"), "colliding")
-    bits, again = bitmap(repeated.unionByName(colliding.select("u")), "u"), bitmap(repeated, "u")
+    maps = bitmap(colliding, "u"), bitmap(repeated, "u")
     shape = f"u long, id {kind}, h long, a int, z int, words string, before binary, after binary"
-    members = stored(docs.mapInArrow(functools.partial(_members, bits, again), shape), "members")
-    texts = members.groupBy("u").agg(F.min("words").alias("words")).join(colliding.select("u").distinct(), "u", "left_semi")
+    members = stored(docs.mapInArrow(functools.partial(_members, *maps), shape), "members")
+    texts = members.where(F.col("words").isNotNull()).groupBy("u").agg(F.min("words").alias("words")).join(colliding.select("u").distinct(), "u", "left_semi")
     buckets = spread_large(colliding.select(F.lit(0).cast("long").alias("t"), "k", "u"), "u", bucket).join(texts, "u")
     links = buckets.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_verified, "a long, b long").distinct()
     clusters = connected_components(links).select(F.col("node").alias("u"), F.col("root").alias("c"))
