@@ -2,9 +2,9 @@
 
 When no piece holds the white-space mark after another character, no merge crosses the start of a
 run of marks, so a text is the concatenation of its marked words (a run of marks and what follows
-up to the next mark), each segmented by itself. A worker segments each distinct marked word once
-by the library while it stays in its table, and joins ids, digits and decoded bytes back by
-position. The table is per worker and bounded, instead of one shuffled table of all words: that
+up to the next mark), each segmented by itself. Of each batch, the distinct marked words that a
+worker's table lacks are segmented by the library in one call, and digits of ids and decoded bytes
+are joined back by position. The table is per worker and bounded, instead of one shuffled table of all words: that
 would move every word of the corpus with its position, many times the input.
 
 Defined cases: null is empty and gives the end id alone; texts without a space, very long ones
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ CHUNK_CHARS = 64
 
 
 class PieceTable(dict):
-    """marked word (extra spaces + word) -> (ids, digits, decoded bytes)."""
+    """marked word (extra spaces + word) -> (number of ids, their digits, decoded bytes)."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -46,40 +47,49 @@ class PieceTable(dict):
         self.first = m.encode("a")
         self.shown = len(m.decode(self.first).encode())
 
-    def __missing__(self, chunk: str):
-        ids = self.model.encode(chunk) if chunk else [self.lone]
-        decoded = self.model.decode(self.first + ids).encode()[self.shown :]
-        row = (ids, " ".join(map(str, ids)).encode(), decoded)
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= TABLE_ROWS:
-                self.clear()
-            self[chunk] = row
-        return row
-
-    def rows(self, text: str) -> list:
-        """The table's rows of a whole text, in order."""
+    def learn(self, words: list[str]) -> None:
+        ids = self.model.encode(words, num_threads=1)
+        if "" in words:  # one mark at the end of a text
+            ids[words.index("")] = [self.lone]
+        decoded = self.model.decode([self.first + i for i in ids], num_threads=1)
+        for w, i, d in zip(words, ids, decoded):
+            self[w] = (len(i), " ".join(map(str, i)).encode(), d.encode()[self.shown :])
+
+    def parts(self, text: str) -> list[str]:
+        """The marked words of a whole text, each without its first mark."""
         if not text:
             return []
         parts = text.replace(MARK, " ").split(" ")
-        if "" in parts:
-            words, spaces = [], 0
-            for p in parts:
-                if p:
-                    words.append(" " * spaces + p)
-                    spaces = 0
-                else:
-                    spaces += 1
-            if spaces:
-                words.append(" " * (spaces - 1))
-            parts = words
-        return [self[p] for p in parts]
-
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in self.rows(text) for i in ids] + [self.end]
+        if "" not in parts:
+            return parts
+        words, spaces = [], 0
+        for p in parts:
+            if p:
+                words.append(" " * spaces + p)
+                spaces = 0
+            else:
+                spaces += 1
+        if spaces:
+            words.append(" " * (spaces - 1))
+        return words
+
+    def rows_of(self, texts: list[str]) -> list[list]:
+        """The table's rows of each text, in order."""
+        if len(self) > TABLE_ROWS:
+            self.clear()
+        split = list(map(self.parts, texts))
+        new = list(set(itertools.chain.from_iterable(split)).difference(self))
+        if new:
+            self.learn(new)
+        out = [[self[p] for p in parts] for parts in split]
+        for w in new:
+            if len(w) > CHUNK_CHARS:
+                del self[w]
+        return out
 
     def decode_rows(self, rows: list) -> bytes:
         """What decode() gives for the rows' ids and the end id: the first mark is no space."""
-        return b"".join(r[2] for r in rows)[1:]
+        return b"".join([r[2] for r in rows])[1:]
 
 
 @functools.lru_cache(maxsize=2)
@@ -92,15 +102,14 @@ def _encode(path: str, digests: bool, batches):
     end = str(t.end).encode()
     for b in batches:
         n, ids, decoded = [], [], []
-        for text in b.column("text").to_pylist():
-            rows = t.rows(text)
-            n.append(sum(len(r[0]) for r in rows) + 1)
+        for rows in t.rows_of(b.column("text").to_pylist()):
+            n.append(sum([r[0] for r in rows]) + 1)
             back = t.decode_rows(rows)
             if digests:
-                ids.append(hashlib.sha256(b" ".join([*(r[1] for r in rows), end])).hexdigest())
+                ids.append(hashlib.sha256(b" ".join([*[r[1] for r in rows], end])).hexdigest())
                 decoded.append(hashlib.sha256(back).hexdigest())
             else:
-                ids.append([*(i for r in rows for i in r[0]), t.end])
+                ids.append([*(int(i) for r in rows for i in r[1].split()), t.end])
                 decoded.append(back.decode())
         kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
         yield pa.RecordBatch.from_arrays(
