@@ -31,6 +31,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +49,8 @@ BANDS, ROWS = 4, 2
 PASSAGE = 50
 AROUND = 32
 BUCKET = 2048
-SEEN_ROWS = 400_000
+SEEN_ROWS = 300_000
+SLICE = 1 << 19
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -164,12 +166,25 @@ class Paragraphs:
         return (self.hash >> np.uint64(32)).astype("<u4")
 
 
+def slices(batches, limit: int = SLICE):
+    """The batches in parts of about ``limit`` bytes of text, one row at least: the arrays of a part
+    take many times its bytes."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            done = size[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(size, done + limit, side="right")))
+            yield b.slice(start, end - start)
+            start = end
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def _identities(batches):
-    for b in batches:
+    for b in slices(batches):
         p = Paragraphs(b.column("text").to_pylist())
         rows = pa.array(p.doc)
         yield pa.RecordBatch.from_arrays([_long(p.identity()), b.column("id").take(rows), b.column("h").take(rows), pa.array(p.a.astype(np.int32))], names=["u", "id", "h", "a"])
@@ -178,7 +193,7 @@ def _identities(batches):
 def _bands(batches):
     """Each paragraph's keys, without the repeats that this task has seen lately."""
     seen: set[int] = set()
-    for b in batches:
+    for b in slices(batches):
         p = Paragraphs(b.column("text").to_pylist())
         u, where = np.unique(p.identity(), return_index=True)
         new = np.array([x not in seen for x in u.tolist()], bool)
@@ -225,7 +240,7 @@ def _several(batches):
 def _members(colliding, repeated, batches):
     """Paragraphs that may have a partner: the words of those that may collide, and what stands
     around them where the neighbour does not repeat as a whole."""
-    for b in batches:
+    for b in slices(batches):
         p = Paragraphs(b.column("text").to_pylist())
         u = p.identity()
         met, twin = maybe(colliding.value, u), maybe(repeated.value, u)

@@ -199,3 +199,12 @@ def test_bounds_and_fit():
         used = np.bincount(bins, sizes, len(free))
         assert (used <= 64).all() and (64 - used == free).all()
     assert packing.lower_bound(np.full(10, 33), 64) == 10 and packing.lower_bound(np.full(9, 22), 64) == 5 and packing.lower_bound(np.array([], int)) == 0
+
+
+def test_slices_hold_all_rows():
+    import pyarrow as pa
+
+    texts = ["a" * n for n in (3, 50, 0, 7, 7, 7, 200, 1)]
+    b = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = [x.column("text").to_pylist() for x in substring_dedup.slices([b, b.slice(0, 0)], 20)]
+    assert sum(parts, []) == texts and all(len(p) == 1 or sum(map(len, p)) <= 20 for p in parts)
