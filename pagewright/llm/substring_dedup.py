@@ -14,10 +14,13 @@ depend on the words around them only, so a passage is cut alike wherever it stan
    many different paragraphs is dealt out as pairs of blocks.
 4. Connected components of the links are the clusters. Each cluster's first paragraph, by document
    and place, stays. The others are extended word by word while the words before and after equal
-   those around the first one; joined spans of ``PASSAGE`` words or more are cut out.
+   those around the first one; joined spans of ``PASSAGE`` words or more are cut out. Only where the
+   same paragraph adjoins both is there nothing to extend: it is a repeat of its own. Words are read
+   ``AROUND`` at a time, and more of them while all are equal.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` and compared after lower-casing A-Z. Two bitmaps of fixed size (see ``membership``) keep rows
-without a partner out of the later shuffles; texts without a removal never shuffle.
+Words are ``[^\\x20\\x09-\\x0D]+`` and compared after lower-casing A-Z. Bitmaps of fixed size (see
+``membership``) keep rows without a partner out of the later shuffles, and exact joins decide; texts
+without a removal never shuffle.
 
 Defined cases: null texts are empty and stay null when kept; texts of fewer than ``LEAST`` words
 have no paragraph; rows that repeat id and text are one document and each get its result; a null id
@@ -48,6 +51,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 4, 2
 PASSAGE = 50
 AROUND = 32
+MORE = 32
+STEP = 0x5851F42D
 BUCKET = 2048
 SEEN_ROWS = 300_000
 SLICE = 1 << 19
@@ -152,14 +157,11 @@ class Paragraphs:
         part = self.data[self.starts[self.start[i]] : self.ends[self.end[i] - 1]]
         return b" ".join(part.split()).decode("utf-8", "replace")
 
-    def before(self, i: int) -> bytes:
-        """32-bit hashes of up to ``AROUND`` words before, nearest first."""
-        low = max(self.first[self.doc[i]], self.start[i] - AROUND)
-        return self.short[low : self.start[i]][::-1].tobytes()
-
-    def after(self, i: int) -> bytes:
-        d = self.doc[i]
-        return self.short[self.end[i] : min(self.first[d] + self.counts[d], self.end[i] + AROUND)].tobytes()
+    def around(self, doc: int, place: int, side: int, limit: int) -> bytes:
+        """32-bit hashes of up to ``limit`` words before (side 0, nearest first) or from a place on."""
+        low = self.first[doc]
+        at, high = low + place, low + self.counts[doc]
+        return (self.short[at : min(high, at + limit)] if side else self.short[max(low, at - limit) : at][::-1]).tobytes()
 
     @functools.cached_property
     def short(self) -> np.ndarray:
@@ -238,30 +240,67 @@ def _several(batches):
 
 
 def _members(colliding, repeated, batches):
-    """Paragraphs that may have a partner: the words of those that may collide, and what stands
-    around them where the neighbour does not repeat as a whole."""
+    """Paragraphs that may have a partner: the words of those that may collide, the word next to
+    them on either side, and the paragraph that adjoins them there, if one does."""
     for b in slices(batches):
         p = Paragraphs(b.column("text").to_pylist())
         u = p.identity()
-        met, twin = maybe(colliding.value, u), maybe(repeated.value, u)
-        at = np.flatnonzero(met | twin)
+        met = maybe(colliding.value, u)
+        at = np.flatnonzero(met | maybe(repeated.value, u))
         if not len(at):
             continue
         joined = (p.doc[:-1] == p.doc[1:]) & (p.end[:-1] == p.start[1:])
-        before = np.concatenate(([True], ~(joined & twin[:-1])))[at].tolist()
-        after = np.concatenate((~(joined & twin[1:]), [True]))[at].tolist()
-        rows, places = pa.array(p.doc[at]), at.tolist()
+        own = u.view(np.int64)
+        # none at the ends of a text
+        no_word = (p.a[at] == 0, p.z[at] == p.counts[p.doc[at]])
+        words = (p.short[p.start[at] - 1], p.short[np.minimum(p.end[at], len(p.short) - 1)])
+        no_unit = (~np.concatenate(([False], joined))[at], ~np.concatenate((joined, [False]))[at])
+        units = (np.roll(own, 1)[at], np.roll(own, -1)[at])
+        rows = pa.array(p.doc[at])
         yield pa.RecordBatch.from_arrays(
             [
                 _long(u[at]), b.column("id").take(rows), b.column("h").take(rows), pa.array(p.a[at].astype(np.int32)), pa.array(p.z[at].astype(np.int32)),
-                pa.array([p.text(i) if m else None for i, m in zip(places, met[at].tolist())], pa.string()),
-                pa.array([p.before(i) if w else b"" for i, w in zip(places, before)], pa.binary()),
-                pa.array([p.after(i) if w else b"" for i, w in zip(places, after)], pa.binary()),
+                pa.array([p.text(i) if m else None for i, m in zip(at.tolist(), met[at].tolist())], pa.string()),
+                *(pa.array(w.view(np.int32), mask=n) for w, n in zip(words, no_word)), *(pa.array(x, mask=n) for x, n in zip(units, no_unit)),
             ],
-            names=["u", "id", "h", "a", "z", "words", "before", "after"],
+            names=["u", "id", "h", "a", "z", "words", "word0", "word1", "unit0", "unit1"],
         )
 
 
+def _key(h, place, side):
+    """The same 64 bits for numpy arrays and for columns (a place has 31 bits)."""
+    number = (place * 2 + side) * STEP
+    return h ^ number if isinstance(h, np.ndarray) else h.bitwiseXOR(number)
+
+
+def _around(places, texts, limit: int, anywhere: bool, batches):
+    """Hashes of the words on one side of places that may be wanted: of paragraphs' ends, or of any word."""
+    seen: set[int] = set()
+    for b in slices(batches):
+        h = b.column("h").to_numpy(zero_copy_only=False)
+        b = b.filter(pa.array(maybe(texts.value, h.view(np.uint64))))
+        if not b.num_rows:
+            continue
+        h, p = b.column("h").to_numpy(zero_copy_only=False), Paragraphs(b.column("text").to_pylist())
+        out: list[list] = [[], [], [], []]
+        for side in (0, 1):
+            if anywhere:
+                doc = np.repeat(np.arange(b.num_rows), p.counts)
+                place = np.arange(len(doc)) - p.first[doc]
+            else:
+                doc, place = p.doc, (p.z if side else p.a)
+            keys = _key(h[doc], place.astype(np.int64), side)
+            for i in np.flatnonzero(maybe(places.value, keys.view(np.uint64))).tolist():
+                if (key := int(keys[i])) not in seen:
+                    seen.add(key)
+                    for into, value in zip(out, (int(h[doc[i]]), int(place[i]), side, p.around(doc[i], place[i], side, limit))):
+                        into.append(value)
+        if len(seen) > SEEN_ROWS:
+            seen.clear()
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["h", "place", "side", "near"])
+
+
 def shingles(text: str, n: int = SHINGLE) -> frozenset[str]:
     words = text.split()
     return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
@@ -313,16 +352,42 @@ def _common(x: bytes, y: bytes) -> int:
     return n if same.all() else int(np.argmin(same))
 
 
-def _spans(batches):
-    """Each later paragraph with what equals the surroundings of its cluster's first one."""
+def _extended(batches):
+    """Each edge with the number of words that are equal from it on."""
     for b in batches:
-        get = lambda n: b.column(n).to_pylist()
-        low = [a - _common(x, y) for a, x, y in zip(get("a"), get("before"), get("first_before"))]
-        high = [z + _common(x, y) for z, x, y in zip(get("z"), get("after"), get("first_after"))]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("h"), pa.array(low, pa.int32()), pa.array(high, pa.int32()), b.column("keep_id")], names=["id", "h", "a", "z", "keep_id"])
-
-
-def removals(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+        equal = [_common(x, y) for x, y in zip(b.column("near").to_pylist(), b.column("first_near").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.drop_columns(["near", "first_near"]).columns, pa.array(equal, pa.int32())], names=[*b.schema.names[:-2], "n"])
+
+
+def _extensions(docs: DataFrame, later: DataFrame, kind: str, around: int) -> DataFrame:
+    """(id, h, a, z, keep_id): the words next to later paragraphs that equal those next to the first."""
+
+    def side(k: int, end: str) -> DataFrame:
+        # the next word is the same, and not by a paragraph that repeats as a whole
+        wanted = (F.col(f"word{k}") == F.col(f"first.word{k}")) & ~F.coalesce(F.col(f"unit{k}") == F.col(f"first.unit{k}"), F.lit(False))
+        return later.where(wanted).select("id", "h", F.col(end).alias("place"), F.col("first.place.h").alias("fh"), F.col(f"first.{end}").alias("fplace"), F.lit(k).alias("side"), "keep_id")
+
+    edges = stored(side(0, "a").unionByName(side(1, "z")).distinct(), "edges")
+    found, limit = None, around
+    while True:
+        both = edges.select("h", "place", "side").unionByName(edges.select(F.col("fh").alias("h"), F.col("fplace").alias("place"), "side"))
+        places = bitmap(both.select(_key(F.col("h"), F.col("place").cast("long"), F.col("side")).alias("k")), "k")
+        near = docs.select("h", "text").mapInArrow(functools.partial(_around, places, bitmap(both.select("h"), "h"), limit, found is not None), "h long, place int, side int, near binary")
+        near = stored(near, "near").groupBy("h", "place", "side").agg(F.min("near").alias("near"))
+        near = stored(near, "near-once")  # a plain join side: a place that many rows meet may be split
+        first = near.select(F.col("h").alias("fh"), F.col("place").alias("fplace"), "side", F.col("near").alias("first_near"))
+        met = edges.join(near, ["h", "place", "side"]).join(first, ["fh", "fplace", "side"]).select("id", "h", "place", "fh", "fplace", "side", "keep_id", "near", "first_near")
+        done = stored(met.mapInArrow(_extended, f"id {kind}, h long, place int, fh long, fplace int, side int, keep_id {kind}, n int"), "extended")
+        back = F.col("side") == 0
+        here = done.where("n > 0").select("id", "h", F.when(back, F.col("place") - F.col("n")).otherwise(F.col("place")).alias("a"), F.when(back, F.col("place")).otherwise(F.col("place") + F.col("n")).alias("z"), "keep_id")
+        found = here if found is None else found.unionByName(here)
+        edges, step = done.where(F.col("n") == limit), F.when(back, -F.col("n")).otherwise(F.col("n"))
+        if edges.isEmpty():
+            return found
+        edges, limit = edges.withColumns({"place": F.col("place") + step, "fplace": F.col("fplace") + step}).drop("n"), limit * MORE
+
+
+def removals(docs: DataFrame, bucket: int = BUCKET, around: int = AROUND) -> DataFrame:
     """(id, h, spans): for each document with repeated paragraphs, the words (a, z) that repeat and
     the id of the document that keeps them. ``docs``: id, h, text."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -333,19 +398,18 @@ def removals(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = docs.select("id", "h", "text").mapInArrow(_bands, "k long, u long")
     colliding = stored(rows.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_several, "k long, u long"), "colliding")
     maps = bitmap(colliding, "u"), bitmap(repeated, "u")
-    shape = f"u long, id {kind}, h long, a int, z int, words string, before binary, after binary"
+    shape = f"u long, id {kind}, h long, a int, z int, words string, word0 int, word1 int, unit0 long, unit1 long"
     members = stored(docs.mapInArrow(functools.partial(_members, *maps), shape), "members")
     texts = members.where(F.col("words").isNotNull()).groupBy("u").agg(F.min("words").alias("words")).join(colliding.select("u").distinct(), "u", "left_semi")
     buckets = spread_large(colliding.select(F.lit(0).cast("long").alias("t"), "k", "u"), "u", bucket).join(texts, "u")
     links = buckets.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_verified, "a long, b long").distinct()
     clusters = connected_components(links).select(F.col("node").alias("u"), F.col("root").alias("c"))
     placed = stored(members.drop("words").join(clusters, "u", "left").withColumn("c", F.coalesce("c", "u")), "placed")
-    around = F.struct(place.alias("place"), F.col("before"), F.col("after"))
-    first = placed.groupBy("c").agg(F.min_by(around, place).alias("f"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    first = first.select("c", F.col("f.place").alias("first"), F.col("f.before").alias("first_before"), F.col("f.after").alias("first_after"))
+    row = F.struct(place.alias("place"), "a", "z", "word0", "word1", "unit0", "unit1")
+    first = placed.groupBy("c").agg(F.min_by(row, place).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     first = stored(first, "first")  # a plain join side: a cluster of many rows may be split
-    later = placed.join(first, "c").where(place != F.col("first")).select("id", "h", "a", "z", "before", "after", "first_before", "first_after", F.col("first.id").alias("keep_id"))
-    spans = later.mapInArrow(_spans, f"id {kind}, h long, a int, z int, keep_id {kind}")
+    later = stored(placed.join(first, "c").where(place != F.col("first.place")).withColumn("keep_id", F.col("first.place.id")).drop("u", "c"), "later")
+    spans = later.select("id", "h", "a", "z", "keep_id").unionByName(_extensions(docs, later, kind, around))
     return spans.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "z", "keep_id"))).alias("spans"))
 
 
