@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pagewright.llm import substring_dedup
 
 
@@ -31,6 +33,16 @@ def test_passages_beside_repeated_neighbours(spark):
         assert len(words) <= out[100 + p][0] <= len(words) + 8 and out[100 + p][1] == [p]
 
 
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    passages, rows = copied(33, 12)
+    df = spark.createDataFrame([r for r in rows if r[0] < 200], "doc_id long, text string").repartition(3)
+    expected = cuts(df)
+    assert all(expected[100 + p][0] >= len(words) for p, words in enumerate(passages))
+    full = spark.sparkContext.broadcast(np.full(1 << 24, 255, np.uint8).tobytes())
+    monkeypatch.setattr(substring_dedup, "bitmap", lambda keys, key: full)
+    assert cuts(df) == expected
+
+
 def test_extension_goes_on(spark):
     _, rows = copied(35, 6)
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id AS id", "xxhash64(text) AS h", "text")
