@@ -2,12 +2,15 @@
 
 import hashlib
 import json
+import random
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagewright.llm import chat_format as C
+from pagewright.llm import html_extract as H
 from pagewright.llm.html_extract import html_extract, main_text
 
 TEXTS = st.one_of(st.text(max_size=40), st.lists(st.sampled_from(["</s>", "[INST]", "[/INST]", "<|im_end|>", "<|im_start|>", "\\", "\n", "<", "<<SYS>>", "a", "|>", "<s"]), max_size=8).map("".join))
@@ -74,6 +77,85 @@ def test_pages(name):
     assert main_text(page) == text
 
 
+def plain_scores(root):
+    """Points and link density by walking up from each block, element by element."""
+    points, totals = {}, {}
+
+    def own(node, link=False):
+        for c in node.children:
+            if isinstance(c, str):
+                yield c, link
+            elif c.tag in H.INLINE and not c.off:
+                yield from own(c, link or c.tag == "a")
+
+    def visit(node):
+        if node.tag not in H.INLINE:
+            texts = [(c, link) for c, link in own(node) if c.strip()]
+            chars = sum(len(c) - c.count(" ") // 2 for c, _ in texts)
+            linked = sum(len(c) - c.count(" ") // 2 for c, link in texts if link)
+            if chars:
+                commas = sum(c.count(",") for c, _ in own(node))
+                gain = 1 + commas + min(chars / 100, 3) if node.tag in H.PARAGRAPHS and chars >= 25 else 0
+                up = node.parent if node.tag in ("p", "pre", "td", "li") else node
+                for share in (1, 0.5, 0.25):
+                    if up is not None:
+                        points[up] = points.get(up, 0) + gain * share
+                        up = up.parent
+                up = node
+                while up is not None:
+                    totals[up] = (totals.get(up, (0, 0))[0] + chars, totals.get(up, (0, 0))[1] + linked)
+                    up = up.parent
+        for c in node.children:
+            if not isinstance(c, str) and not c.off:
+                visit(c)
+
+    visit(root)
+    density = {n: z / max(c, 1) for n, (c, z) in totals.items()}
+    named = lambda n: f"{n.marks.get('class', '')} {n.marks.get('id', '')}"
+    return {n: (p + 25 * (n.tag in ("article", "main")) + 10 * bool(H.ON.search(named(n)))) * (1 - density.get(n, 0)) for n, p in points.items()}, density
+
+
+def random_page(rng):
+    """Well- and ill-formed markup at random."""
+    words = lambda n: " ".join(rng.choice(["town", "river,", "day.", "the", "&amp;", "of"]) for _ in range(n))
+    out = []
+    for _ in range(rng.randrange(1, 40)):
+        tag = rng.choice("div p section article b a li ul td tr table span nav h2 center i".split())
+        mark = rng.choice(["", "", " class='story'", " class=ad", " id=x>", ' title="a > b"'])
+        out.append(rng.choice([f"<{tag}{mark}>", f"<{tag}{mark}>", f"</{tag}>", words(rng.randrange(0, 30)), "<br>", f"<p>{words(30)}</p>"]))
+    return "".join(out)
+
+
+def test_scores_against_plain_ones():
+    rng = random.Random(17)
+    for _ in range(300):
+        root = H.parse(random_page(rng))
+        points, density = H.score(root)
+        expected, dense = plain_scores(root)
+        assert points.keys() == {id(n) for n in expected} and density.keys() == {id(n) for n in dense}
+        assert all(abs(points[id(n)] - p) < 1e-9 for n, p in expected.items()) and all(abs(density[id(n)] - d) < 1e-9 for n, d in dense.items())
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<p " + "a" * 100_000 + '"', '<p class="' + "a" * 100_000, "<div>" * 100_000 + "end", "<center>" * 50_000 + "</font></i>" * 50_000, "<center><tr>" * 50_000, "<b><div>" + "<i>" * 50_000 + "</b>" * 50_000, "<p " + '="' * 50_000, "<li><b>" * 50_000, "<" * 100_000],
+    ids=range(9),
+)
+def test_bad_pages_take_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_quotes_and_loose_text():
+    assert main_text(f'<article><p class="x>one</p><p>{LONG}</p></article>') == f"one {LONG}", "a quote that is never closed"
+    assert main_text(f"<article><p class=a don't=1>{LONG}</p><p>it's {LONG}</p></article>") == f"{LONG} it's {LONG}"
+    assert main_text(f"<article><p title=\"a > b\">{LONG}</p></article>") == LONG
+    inner = f"<div class=story><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(f"<div>A lead sentence.{inner}<b>Closing</b> words of the piece.</div>") == f"A lead sentence. {LONG} {LONG} Closing words of the piece."
+    assert main_text(f"<div>lead{inner}<a href=x>more stories here</a></div>") == f"{LONG} {LONG}", "neither prose nor a sentence"
+
+
 def test_html_extract(spark):
     df = spark.createDataFrame([(i, None, p, 1, "x") for i, (p, _) in enumerate(PAGES.values())], "page_id long, url string, html string, id int, text string")
     out = html_extract(df)
