@@ -33,7 +33,8 @@ def tokenizer_version(path: str) -> str:
 
 
 def normalised(text: Column, path: str) -> Column:
-    return text if path.endswith(".model") else F.btrim(text, F.lit(" \t\n\r"))
+    drops = path.endswith(".json") and word_bpe.drops_space(path)
+    return F.btrim(text, F.lit(" \t\n\r")) if drops else text
 
 
 @functools.lru_cache(maxsize=2)

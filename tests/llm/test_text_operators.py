@@ -7,6 +7,8 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pagewright.llm import exact_dedup, heavy, line_dedup, piece_codec, quality_rules, token_counts
@@ -74,6 +76,39 @@ def test_word_table_is_exact():
     assert [memoryview(x).cast("I").tolist() for x in table.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+MARKS = "abcXYZ éÉßµªº²½JHTWYΑΙΣςσİı'stremvl.,!?-_#\n\t\r中0９<|>ÿĀﬁ\x00\x7f\x85\x1c" + "\u00a0\u00ad\u3000\u0301\u0304\u0308\u030a\u030c\u0331\u0345\U0001d400"
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(st.text(MARKS, max_size=40), st.text(max_size=20), st.lists(st.sampled_from(["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Ι\u0308\u0301", "it's", "a.b", "x,", ", ", "<|endoftext|>", " "]), max_size=12).map("".join)), min_size=1, max_size=4))
+def test_ids_are_the_library_s(texts):
+    from pagewright.llm import word_bpe
+
+    table, library = word_bpe.table(JSON), Tokenizer.from_file(JSON)
+    assert table.cuts
+    assert [memoryview(x).cast("I").tolist() for x in table.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_older_table_is_asked_first(monkeypatch):
+    from pagewright.llm import word_bpe
+
+    monkeypatch.setattr(word_bpe, "TABLE_ROWS", 20)
+    library, table = Tokenizer.from_file(JSON), word_bpe.ChunkTable(JSON)
+    for k in range(40):
+        texts = [f"often w{k} x{k * k}, {'y' * k}. often"]
+        assert [memoryview(x).cast("I").tolist() for x in table.encode_all(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(table) <= 20 + 20 and len(table.older) <= 40
+
+
+def test_other_tokenizers_go_to_the_library(spark, hard, pairs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    more = [(300, "Hello  world\n\nfoo bar "), (301, " \t lead and trail \n")]
+    df = hard.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    expected = sorted(((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in [*pairs, *more]), key=key)
+    assert sorted(map(tuple, token_counts.token_counts(df, path).collect()), key=key) == expected
+
+
 def same_texts(pairs):
     groups = defaultdict(list)
     for i, t in pairs:
