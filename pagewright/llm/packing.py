@@ -2,11 +2,13 @@
 
 Documents are encoded, ended by one id and cut into pieces of at most the sequence's length; a
 piece of the whole length is a sequence of its own. The other pieces are dealt over partitions of
-about ``TARGET`` pieces, each packed by best-fit decreasing. Lower bounds from dual feasible
-functions (the identity, the threshold family and the rounding family) certify a partition's bin
-count; a partition whose count is over its bound gives up its worst-filled bins, a certified one
-only its single worst bin, and what is given up meets in a sixteenth of the partitions, where
-best-fit decreasing runs again. Rounds go on until one partition is left.
+about ``TARGET`` pieces, ``LEAST_PARTS`` at least, each packed by best-fit decreasing. Lower bounds
+from dual feasible functions (the identity, the threshold family and the rounding family) certify
+each partition's bin count, the last one's too. A partition whose count is over its bound gives up
+its worst-filled bins, a certified one only its single worst bin; what is given up is dealt anew
+over as many partitions as its number needs, and best-fit decreasing runs again. Rounds end when one
+partition held all that was left, or when a round gave up more than half of what it got: then the
+partitions keep what they packed, so none ever holds much more than ``TARGET`` pieces.
 
 Defined cases: a null text is empty (its one piece is the end id); repeated or null ids are packed
 as they come; an empty table gives an empty result; other columns are ignored.
@@ -28,8 +30,8 @@ from pagewright.llm.shared import small_batches, stored, text_of
 LENGTH = 2048
 END = 0
 TARGET = 100_000
-FEWER = 16
-FIELDS = ("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "final")
+LEAST_PARTS = 4
+FIELDS = ("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "moves")
 
 
 def lower_bound(sizes: np.ndarray, length: int = LENGTH) -> int:
@@ -100,7 +102,7 @@ def _cut(path: str, length: int, batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds)], names=list(FIELDS[:5]))
 
 
-def _pack(length: int, round_no: int, last: bool, batches):
+def _pack(length: int, round_no: int, batches):
     """Packs each part that this task was dealt; a part is never spread over tasks."""
     parts: dict[int, list] = {}
     for b in batches:
@@ -113,32 +115,38 @@ def _pack(length: int, round_no: int, last: bool, batches):
         order = rows.sort_by([("rid", "ascending")])
         sizes = order.column("length").to_numpy().astype(np.int64)
         bins, offsets, free = best_fit(sizes, length)
+        bound = lower_bound(sizes, length)
         moving = np.zeros(len(free), bool)
-        if not last:
-            moving[list(released(free, lower_bound(sizes, length)))] = True
+        moving[list(released(free, bound))] = True
         names = (round_no << 56) + (p << 24) + bins
-        out = [*(order.column(n) for n in FIELDS[:5]), pa.array(names), pa.array(offsets), pa.array(~moving[bins]), order.column("rid")]
+        certified = np.full(len(bins), len(free) == bound)
+        out = [*(order.column(n) for n in FIELDS[:5]), pa.array(names), pa.array(offsets), pa.array(certified), pa.array(moving[bins]), order.column("rid")]
         yield from pa.Table.from_arrays(out, names=[*FIELDS, "rid"]).to_batches(max_chunksize=20_000)
 
 
 def best_fit_packing(df: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET) -> DataFrame:
-    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, certified (whether no
+    packing of the partition that the piece was packed in last has fewer sequences)."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     cut = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(
         functools.partial(_cut, tokenizer, length), f"id {kind}, piece int, start long, length long, ids_crc32 long"
     )
     pieces = stored(cut.withColumn("rid", F.monotonically_increasing_id()), "pieces")
-    whole = pieces.where(F.col("length") == length).select(*FIELDS[:5], (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = {"sequence_id": -1 - F.col("rid"), "offset": F.lit(0).cast("long"), "certified": F.lit(True)}
+    done = pieces.where(F.col("length") == length).withColumns(alone).select(*FIELDS[:8])
     rest = pieces.where(F.col("length") < length)
-    parts, round_no, done = max(1, -(-rest.count() // target)), 0, whole
-    shape = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, final boolean, rid long"
-    while True:
-        last = parts == 1
+    left = rest.count()
+    parts, round_no = max(LEAST_PARTS, -(-left // target)), 0
+    shape = f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, certified boolean, moves boolean, rid long"
+    while left:
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(round_no)), F.lit(parts)).cast("long")).repartition(parts, "part")
-        packed = stored(dealt.mapInArrow(functools.partial(_pack, length, round_no, last), shape), "packed")
-        done = done.unionByName(packed.where("final").select(*FIELDS[:7]))
-        if last:
-            return done.withColumnRenamed("id", id_col)
-        rest = packed.where("not final").drop("sequence_id", "offset", "final")
-        parts, round_no = max(1, parts // FEWER), round_no + 1
+        packed = stored(dealt.mapInArrow(functools.partial(_pack, length, round_no), shape), "packed")
+        moving = packed.where("moves")
+        had, left = left, moving.count()
+        if parts == 1 or 2 * left > had:
+            return done.unionByName(packed.select(*FIELDS[:8])).withColumnRenamed("id", id_col)
+        done = done.unionByName(packed.where("not moves").select(*FIELDS[:8]))
+        rest = moving.drop(*FIELDS[5:])
+        parts, round_no = -(-left // target), round_no + 1
+    return done.withColumnRenamed("id", id_col)
