@@ -42,3 +42,9 @@ def duplicates(config: DataFrame, column: str) -> DataFrame:
 def reset_rows(selections: DataFrame, row_ids: Sequence[int]) -> DataFrame:
     """Selections without what was chosen for the given rows."""
     return selections.where(~F.col("row_id").isin(list(row_ids)))
+
+
+def in_order(selections: DataFrame) -> DataFrame:
+    """Selections whose excluded places are each listed once, in ascending order."""
+    names = ("excluded_cols", "excluded_rows", "excluded_header_rows")
+    return selections.withColumns({n: F.array_sort(F.array_distinct(n)) for n in names})

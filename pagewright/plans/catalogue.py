@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 from pagewright.operators import info, mapping, match, render, select, validate
 from pagewright.plans import synth
+from pagewright.scratch import stored
 from pagewright.sources import config as config_io
 from pagewright.sources import docx, rtf
 
@@ -37,7 +38,7 @@ class Report:
     """The orders report, written as RTF and lexed again."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.lexed = rtf.lex(synth.orders_report(table(spark, sf_dir, "orders")))
+        self.lexed = rtf.lex_once(synth.orders_report(table(spark, sf_dir, "orders")))
         self.pages, self.rows = rtf.pages_of(self.lexed), rtf.rows_of(self.lexed)
 
 
@@ -639,7 +640,7 @@ def generated(spark, sf_dir) -> DataFrame:
         F.when(k == 2, F.col("s_name")).when(k == 3, "").otherwise("orders").alias("table"),
     )
     selections = spark.createDataFrame([], "row_id int, doc_id string, excluded_cols array<int>, excluded_rows array<int>, excluded_header_rows array<int>, parameters array<string>, timelines array<string>")
-    texts = synth.orders_report(table(spark, sf_dir, "orders")).select("doc_id", F.lit("/reports/orders.rtf").alias("path"), "text")
+    texts = stored(synth.orders_report(table(spark, sf_dir, "orders")).select("doc_id", F.lit("/reports/orders.rtf").alias("path"), "text"), "reports")
     return docx.generate(nation_template(spark, sf_dir), cfg, texts, selections)
 
 

@@ -19,7 +19,9 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from pagewright import errors
 from pagewright.functions.text import emu_to_twips
+from pagewright.operators.mapping import valid_rows
 from pagewright.operators.render import W_NS, output_xml
+from pagewright.scratch import stored
 from pagewright.sources import rtf
 
 #: Namespaces and part names of the file format.
@@ -31,6 +33,7 @@ DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
 DOCUMENT, RELS, TYPES = "word/document.xml", "word/_rels/document.xml.rels", "[Content_Types].xml"
 EMU_PER_TWIP, EMU_PER_INCH = 635, 914400
 DEFAULT_WIDTH = 6 * EMU_PER_INCH
+MARGIN_PART = re.compile(r"word/(header|footer)\d*\.xml")
 LEVELS = 20
 
 
@@ -83,8 +86,11 @@ class Document:
             if place is not None:
                 self.places[name] = place
                 self.contexts[name] = self.context(place)
-        used = [int(m[1]) for n in self.parts if (m := re.fullmatch(r"word/media/image(\d+)\.png", n))]
-        self.next_image = max(used, default=0) + 1
+        for n in self.parts:  # no place to put anything, but a reason why
+            if m := MARGIN_PART.fullmatch(n):
+                for b in parse(self.parts[n]).iter(f"{W}bookmarkStart"):
+                    self.contexts.setdefault(b.get(f"{W}name"), m[1])
+        self.images = sum(n.startswith("word/media/") and n.endswith(".png") for n in self.parts)
         self.width = text_width(self.document)
 
     def ancestor(self, node: ElementTree.Element, tag: str) -> ElementTree.Element | None:
@@ -123,8 +129,10 @@ class Document:
 
     def add_image(self, png: bytes) -> tuple[int, str]:
         """(number, relationship id) of a new image part."""
-        number = self.next_image
-        self.next_image += 1
+        number = self.images + 1
+        while f"word/media/image{number}.png" in self.parts:  # never over an image that is there
+            number += 1
+        self.images = number
         name, rel = f"image{number}.png", f"rIdImg{number}"
         self.parts[f"word/media/{name}"] = png
         ElementTree.SubElement(self.rels, f"{{{REL_NS}}}Relationship", {"Id": rel, "Type": f"{DOC_REL}/image", "Target": f"media/{name}"})
@@ -262,22 +270,31 @@ def _generate(strict: bool, batches):
         names, contents, statuses = [], [], []
 
 
-def rendered(templates: DataFrame, config: DataFrame, texts: DataFrame, selections: DataFrame) -> DataFrame:
+SELECTED = ("excluded_cols", "excluded_rows", "excluded_header_rows", "parameters", "timelines")
+
+
+def rendered(templates: DataFrame, config: DataFrame, texts: DataFrame, selections: DataFrame, kept: str | None = None) -> DataFrame:
     """(docx_id, row_id, bookmark, kind, xml, png, ...): each mapping row with both names and what is
     to be put at its bookmark. ``texts``: doc_id, path, text of the reports; ``selections`` are
-    keyed by row_id."""
+    keyed by row_id; ``kept``: the folder of lexed reports, if they are to be kept.
+
+    Reports are lexed once, and a table is rendered once for all mapping rows and templates that
+    want the same selection of a report in the same width."""
     valid = config.where((F.col("bookmark") != "") & (F.col("table") != "")).select("row_id", "bookmark", F.col("table").alias("doc_id"))
-    chosen = valid.join(selections.drop("doc_id"), "row_id", "left")
-    wide = text_widths(templates).select("docx_id", "twips")
     known = texts.select("doc_id", "path", rtf.is_image("text").alias("is_image"))
-    lexed = rtf.lex(texts.where(~rtf.is_image("text")))
-    per_docx = chosen.join(wide.select(F.col("twips").cast("long").alias("twips"), "docx_id"))
-    item = ("docx_id", "row_id", "doc_id")
-    tables = output_xml(rtf.pages_of(lexed), rtf.rows_of(lexed), per_docx.drop("bookmark"), item, "twips").select("docx_id", "row_id", "xml", "error")
+    lexed = rtf.lex_once(texts.where(~rtf.is_image("text")).join(valid.select("doc_id").distinct(), "doc_id", "left_semi"), kept)
+    # a row for each template: as many as files, without their content
+    widths = F.broadcast(text_widths(templates).select("docx_id", F.col("twips").cast("long").alias("twips")))
+    chosen = valid.join(selections.select("row_id", *SELECTED), "row_id", "left")
+    key = F.sha2(F.to_json(F.struct("doc_id", *SELECTED, "twips")), 256)
+    wanted = stored(chosen.crossJoin(widths).withColumn("key", key), "wanted")
+    distinct = wanted.select("key", "doc_id", *SELECTED, "twips").dropDuplicates(["key"])
+    tables = output_xml(rtf.pages_of(lexed), rtf.rows_of(lexed), distinct, ("key", "doc_id"), "twips").select("key", "xml", "error")
     pictures = rtf.images(texts)
     failed = rtf.errors_of(lexed).withColumnRenamed("error", "unread")
     empty = F.lit(f'<w:tbl xmlns:w="{W_NS}"><w:tblPr><w:tblW w:w="0" w:type="dxa"/></w:tblPr><w:tblGrid></w:tblGrid></w:tbl>')
-    joined = per_docx.select("docx_id", "row_id", "bookmark", "doc_id").join(known, "doc_id", "left").join(failed, "doc_id", "left").join(tables, ["docx_id", "row_id"], "left").join(pictures, "doc_id", "left")
+    reports = known.join(failed, "doc_id", "left").join(pictures, "doc_id", "left")
+    joined = wanted.select("docx_id", "row_id", "bookmark", "doc_id", "key").join(reports, "doc_id", "left").join(tables, "key", "left")
     kind = F.when(F.col("path").isNull(), "missing").when(F.col("is_image"), "image").when(F.col("unread").isNotNull(), "unread").otherwise("table")
     return joined.select(
         "docx_id", "row_id", "bookmark", kind.alias("kind"),
@@ -286,12 +303,13 @@ def rendered(templates: DataFrame, config: DataFrame, texts: DataFrame, selectio
     )
 
 
-def generate(templates: DataFrame, config: DataFrame, texts: DataFrame, selections: DataFrame, strict: bool = False) -> DataFrame:
+def generate(templates: DataFrame, config: DataFrame, texts: DataFrame, selections: DataFrame, strict: bool = False, kept: str | None = None) -> DataFrame:
     """(docx_id, content, status): each template with all mapping rows put in, in row order.
 
     A failure is kept in ``status`` (kind null: fine) and the others go on. With ``strict``, a
-    bookmark in a table cell or text box is refused. One task changes one template."""
-    items = rendered(templates, config, texts, selections)
+    bookmark in a table cell, text box, page header or page footer is refused. One task changes one
+    template, which is one file. ``kept``: as in ``rendered``."""
+    items = rendered(templates, config, texts, selections, kept)
     fields = F.struct("row_id", "bookmark", "kind", "xml", "png", "width_twips", "height_twips", "problem", "path")
     grouped = items.groupBy("docx_id").agg(F.sort_array(F.collect_list(F.struct("row_id", fields.alias("item")))).alias("i"))
     ready = templates.join(grouped, "docx_id", "left").select("docx_id", "content", F.coalesce(F.transform("i", lambda x: x["item"]), F.array().cast(f"array<struct<{_struct(ITEMS)}>>")).alias("items"))
@@ -306,6 +324,19 @@ def status_of(generated: DataFrame) -> DataFrame:
     return generated.select("docx_id", F.inline("status"))
 
 
+def told(generated: DataFrame, config: DataFrame, progress) -> DataFrame:
+    """Calls ``progress(i, n, message)`` once for each mapping row with both names, in row order, as
+    the rows' statuses come in, and gives the statuses back. A mapping is a grid: its rows pass
+    through the driver one by one."""
+    status = stored(status_of(generated), "status")
+    rows = stored(valid_rows(config).select("row_id", "bookmark"), "told")
+    n = rows.count()
+    done = rows.join(status.select("row_id").distinct(), "row_id").orderBy("row_id")
+    for i, r in enumerate(done.toLocalIterator(), 1):
+        progress(i, n, f"Injecting {r.bookmark}\u2026")
+    return status
+
+
 class _DocxWriter(DataSourceWriter):
     def __init__(self, options):
         self.folder = options["path"]

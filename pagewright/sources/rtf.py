@@ -10,12 +10,14 @@ import functools
 import re
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pagewright import schema
 from pagewright.functions.text import strip_extension
+from pagewright.scratch import stored
 from pagewright.sources import lexer
 
 GLOB = "*.[rR][tT][fF]"
@@ -43,6 +45,24 @@ def catalog(spark: SparkSession, folder: str) -> DataFrame:
     return _named(files.select("path")).select(F.col("doc_id").alias("table_name"), "path")
 
 
+# What is said about a folder.
+FOLDER_MISSING = "Folder not found. Check the path and try again."
+FOLDER_EMPTY = "No RTF files found in that folder."
+
+
+def load_folder(spark: SparkSession, folder: str) -> tuple[DataFrame, str, str]:
+    """The folder's catalog, and what to tell about it: a kind (error, warning or message) and a text.
+    The catalog of a folder that does not exist is empty."""
+    try:
+        found = catalog(spark, folder)
+        n = found.count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "table_name string, path string"), "error", FOLDER_MISSING
+    return (found, "message", f"Found {n} RTF files.") if n else (found, "warning", FOLDER_EMPTY)
+
+
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, path, text) of each RTF file of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder).select("path", "content")
@@ -61,18 +81,52 @@ def lexed_rows(doc_id, text: str | None, decode_escapes: bool) -> list[dict]:
     ]
 
 
-def _lex(decode_escapes: bool, batches):
+def _lex(decode_escapes: bool, mark_empty: bool, batches):
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            if rows := lexed_rows(doc_id, text, decode_escapes):
+            rows = lexed_rows(doc_id, text, decode_escapes)
+            if mark_empty and not rows:
+                rows = [{"doc_id": doc_id, "page_no": 0, "parameter": None, "rows": [], "error": None}]
+            if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=LEXED)
 
 
-def lex(texts: DataFrame, decode_escapes: bool = False) -> DataFrame:
+def lex(texts: DataFrame, decode_escapes: bool = False, mark_empty: bool = False) -> DataFrame:
     """Pages with their rows, from (doc_id, text). A report that cannot be read is one row whose
-    ``page_no`` is null and whose ``error`` tells why; the job goes on."""
+    ``page_no`` is null and whose ``error`` tells why; the job goes on. With ``mark_empty``, one
+    without pages is a row whose ``page_no`` is 0."""
     rows = texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"))
-    return rows.mapInArrow(functools.partial(_lex, decode_escapes), schema.LEXED)
+    return rows.mapInArrow(functools.partial(_lex, decode_escapes, mark_empty), schema.LEXED)
+
+
+def lex_once(texts: DataFrame, folder: str | None = None, decode_escapes: bool = False) -> DataFrame:
+    """As ``lex``, with the result written, so that all that follows reads it and lexes nothing again.
+
+    ``folder`` keeps it beyond the session: reports whose text was lexed into it before are read from
+    there, only the others are lexed and appended. The text's digest is the key, so a changed report
+    is lexed again, and reports of the same text are lexed once. Without a folder the table is a
+    scratch one."""
+    if folder is None:
+        return stored(lex(texts, decode_escapes), "lexed")
+    spark = texts.sparkSession
+    kept = f"digest string, decoded boolean, {schema.LEXED}"
+
+    def known() -> DataFrame:
+        try:
+            found = spark.read.schema(kept).parquet(folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = spark.createDataFrame([], kept)
+        return found.where(F.col("decoded") == decode_escapes)
+
+    keyed = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    new = keyed.join(known().select("digest").distinct(), "digest", "left_anti").dropDuplicates(["digest"])
+    lexed = lex(new.select(F.col("digest").alias("doc_id"), "text"), decode_escapes, mark_empty=True)
+    lexed.select(F.col("doc_id").alias("digest"), F.lit(decode_escapes).alias("decoded"), *lexed.columns).write.mode("append").parquet(folder)
+    once = known().drop("decoded", "doc_id").dropDuplicates(["digest", "page_no"])  # a repeated append is harmless
+    found = keyed.drop("text").join(once, "digest").where(F.col("page_no").isNull() | (F.col("page_no") > 0))
+    return found.select("doc_id", "page_no", "parameter", "rows", "error")
 
 
 def pages_of(lexed: DataFrame) -> DataFrame:

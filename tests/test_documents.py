@@ -1,6 +1,8 @@
 """Sources and sinks: folders of reports, pictures, Word documents, sheets, logs, the stream."""
 
 
+import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -118,3 +120,68 @@ def test_errors():
     assert errors.hint_of(ValueError()) is None and errors.formatted(ValueError("v")) == "v"
     assert errors.BookmarkDuplicate("B", [1, 2]).as_row()["fields"]["rows"] == "1, 2"
 
+
+
+def test_folder_notices(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    gone, kind, said = rtf.load_folder(spark, str(tmp_path / "gone"))
+    assert (gone.count(), gone.columns, kind, said) == (0, ["table_name", "path"], "error", "Folder not found. Check the path and try again.")
+    assert rtf.load_folder(spark, str(tmp_path / "none"))[1:] == ("warning", "No RTF files found in that folder.")
+    (tmp_path / "none" / "a.rtf").write_text(REPORT)
+    found, kind, said = rtf.load_folder(spark, str(tmp_path / "none"))
+    assert (found.first().table_name, kind, said) == ("a", "message", "Found 1 RTF files.")
+
+
+def test_reports_are_lexed_once(spark, tmp_path, monkeypatch):
+    """What was lexed before is read from the folder; a changed text is lexed again."""
+    texts = [("a", REPORT), ("b", REPORT), ("bad", "{\\sectd\\trowd x\\cell\\row}"), ("null", None)]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    order = lambda d: sorted((tuple(r) for r in d.collect()), key=repr)
+    expected, kept = order(rtf.lex(df)), f"file://{tmp_path}/kept"
+    seen, plain = [], rtf.lex
+    monkeypatch.setattr(rtf, "lex", lambda t, *a, **k: seen.append(sorted(r.text or "" for r in t.collect())) or plain(t, *a, **k))
+    assert order(rtf.lex_once(df, kept)) == expected and order(rtf.lex_once(df, kept)) == expected
+    more = df.unionByName(spark.createDataFrame([("c", "{\\rtf1\\sectd\\trowd\\cellx9 new\\cell\\row}")], df.schema))
+    assert {r.doc_id for r in rtf.lex_once(more, kept).collect()} == {"a", "b", "bad", "c"}
+    assert [len(x) for x in seen] == [3, 0, 1]
+    assert order(rtf.lex_once(df)) == expected
+    assert rtf.lex_once(df, kept, True).count() == len(expected), "escapes decoded are another table"
+
+
+def test_progress_and_strict(spark):
+    inside = '<w:tbl><w:tr><w:tc><w:p><w:bookmarkStart w:id="9" w:name="CELL"/></w:p></w:tc></w:tr></w:tbl>'
+    data = template_bytes(["B1"])
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        parts = {n: z.read(n) for n in z.namelist()}
+    parts[docx.DOCUMENT] = parts[docx.DOCUMENT].replace(b"<w:sectPr>", inside.encode() + b"<w:sectPr>")
+    for where in ("header", "footer"):
+        parts[f"word/{where}1.xml"] = f'<w:hdr xmlns:w="{docx.W_NS}"><w:p><w:bookmarkStart w:id="1" w:name="IN_{where}"/></w:p></w:hdr>'.encode()
+    parts["word/media/image2.png"] = b"old"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, d in parts.items():
+            z.writestr(n, d)
+    document = docx.Document(out.getvalue())
+    assert [document.add_image(b"x")[0] for _ in range(2)] == [3, 4] and document.parts["word/media/image2.png"] == b"old"
+    templates = spark.createDataFrame([("a.docx", out.getvalue())], "docx_id string, content binary")
+    texts = spark.createDataFrame([("t1", "/r/t1.rtf", REPORT)], "doc_id string, path string, text string")
+    cfg = spark.createDataFrame([(4, "IN_footer", "t1"), (1, "B1", "t1"), (2, "CELL", "t1"), (3, "IN_header", "t1"), (5, "", "t1")], "row_id int, bookmark string, `table` string")
+    none = spark.createDataFrame([], SELECTION)
+    calls = []
+    loose = docx.told(docx.generate(templates, cfg, texts, none), cfg, lambda *a: calls.append(a))
+    assert {r.row_id: r.kind for r in loose.collect()} == {1: None, 2: None, 3: "xml_inject_failed", 4: "xml_inject_failed"}
+    assert calls == [(i, 4, f"Injecting {b}…") for i, b in enumerate(["B1", "CELL", "IN_header", "IN_footer"], 1)]
+    strict = {r.row_id: r.message for r in docx.status_of(docx.generate(templates, cfg, texts, none, strict=True)).collect()}
+    assert strict[1] is None and all(w in strict[k] for k, w in {2: "inside a table cell", 3: "in a page header", 4: "in a page footer"}.items())
+
+
+def test_generation_lexes_once(spark):
+    """No plan of a generation holds the lexer: reports were lexed and written before."""
+    templates = spark.createDataFrame([("a.docx", template_bytes(["B1"])), ("b.docx", template_bytes(["B1"], None))], "docx_id string, content binary")
+    texts = spark.createDataFrame([("t1", "/r/t1.rtf", REPORT)], "doc_id string, path string, text string")
+    cfg = spark.createDataFrame([(1, "B1", "t1"), (2, "B1", "t1")], "row_id int, bookmark string, `table` string")
+    items = docx.rendered(templates, cfg, texts, spark.createDataFrame([], SELECTION))
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "_pictures" in plan and "CartesianProduct" not in plan
+    widths = {(r.docx_id, r.row_id): sum(int(w) for w in re.findall(r'gridCol w:w="(\d+)"', r.xml)) for r in items.collect()}
+    assert widths == {("a.docx", 1): 9360, ("a.docx", 2): 9360, ("b.docx", 1): 8640, ("b.docx", 2): 8640}
