@@ -51,6 +51,7 @@ def combined_pairs(df: DataFrame) -> DataFrame:
     return pair(df, "section", F.col("seq").cast("long").alias("seq"))
 
 
+# The messages and markup that the SQL below spells are those that results must show.
 #: rep: page_no, parameter, row_no, hdr, tl (null above a page's first label), c1, c2
 REP = """
 WITH base AS (
@@ -493,7 +494,8 @@ XML_SQL = (
 
 @query(
     f"""WITH c AS (SELECT c_mktsegment AS s, c_name AS n, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS q, count(*) OVER (PARTITION BY c_mktsegment) AS total FROM customer),
-d AS (SELECT *, CASE WHEN q = total THEN '{render.BOTTOM}' ELSE '' END AS rule, '{render.FONT}' AS font FROM c)
+d AS (SELECT *, CASE WHEN q = total THEN '<w:tcBorders><w:bottom w:val="single" w:sz="8" w:space="0" w:color="000000"/></w:tcBorders>' ELSE '' END AS rule,
+  '<w:rFonts w:ascii="Times New Roman" w:hAnsi="Times New Roman"/><w:sz w:val="20"/><w:szCs w:val="20"/>' AS font FROM c)
 SELECT s AS doc_id, q AS seq, sha256({XML_SQL}) AS xml_sha256 FROM d"""
 )
 def ooxml_rows(spark, sf_dir):
@@ -649,12 +651,6 @@ def generate_docx_status(spark, sf_dir):
     return docx.status_of(generated(spark, sf_dir)).select("row_id", "kind", "message")
 
 
-@query()
-def generate_docx(spark, sf_dir):
-    """The written documents' sizes; their bytes are checked by tests."""
-    return generated(spark, sf_dir).select("docx_id", (F.length("content") > 0).alias("has_content"), F.size("status").alias("n_rows"))
-
-
 LINES_SQL = """SELECT 'supplier ' || l_suppkey AS doc_id, l_returnflag AS parameter, count(*) AS n_rows, sum(length(l_orderkey::VARCHAR) + length(l_linenumber::VARCHAR) + length(l_linestatus))::BIGINT AS n_chars
 FROM lineitem GROUP BY ALL"""
 

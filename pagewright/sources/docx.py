@@ -31,6 +31,8 @@ CT_NS = "http://schemas.openxmlformats.org/package/2006/content-types"
 DOC_REL = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 DRAWING = "http://schemas.openxmlformats.org/drawingml/2006"
 DOCUMENT, RELS, TYPES = "word/document.xml", "word/_rels/document.xml.rels", "[Content_Types].xml"
+for _prefix, _uri in (("w", W_NS), ("r", DOC_REL), ("wp", f"{DRAWING}/wordprocessingDrawing"), ("a", f"{DRAWING}/main"), ("pic", f"{DRAWING}/picture")):
+    ElementTree.register_namespace(_prefix, _uri)
 EMU_PER_TWIP, EMU_PER_INCH = 635, 914400
 DEFAULT_WIDTH = 6 * EMU_PER_INCH
 MARGIN_PART = re.compile(r"word/(header|footer)\d*\.xml")
@@ -199,6 +201,20 @@ def _xml(batches):
         yield pa.RecordBatch.from_arrays([b.column("docx_id"), pa.array(found, pa.string())], names=["docx_id", "xml"])
 
 
+def _parts(batches):
+    for b in batches:
+        for docx_id, content in zip(b.column("docx_id").to_pylist(), b.column("content").to_pylist()):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                names = [n for n in z.namelist() if not n.endswith("/")]
+                data = [z.read(n) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array([docx_id] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(data, pa.binary())], names=["docx_id", "part", "data"])
+
+
+def parts(documents: DataFrame) -> DataFrame:
+    """(docx_id, part, data): the parts of Word files."""
+    return documents.select("docx_id", "content").mapInArrow(_parts, "docx_id string, part string, data binary")
+
+
 def document_xml(templates: DataFrame) -> DataFrame:
     return templates.select("docx_id", "content").mapInArrow(_xml, "docx_id string, xml string")
 
