@@ -81,14 +81,45 @@ def lexed_rows(doc_id, text: str | None, decode_escapes: bool) -> list[dict]:
     ]
 
 
+class _Columns:
+    """Lexed pages as flat lists: the cells of all rows, the rows of all pages."""
+
+    def __init__(self):
+        self.cells: dict[str, list] = {f.name: [] for f in _CELL}
+        self.rows: dict[str, list] = {"row_no": [], "is_header": []}
+        self.pages: dict[str, list] = {n: [] for n in ("doc_id", "page_no", "parameter", "error")}
+        self.row_ends, self.cell_ends = [0], [0]
+
+    def add(self, page: dict) -> None:
+        for name, values in self.pages.items():
+            values.append(page[name])
+        for row in page["rows"]:
+            for name, values in self.rows.items():
+                values.append(row[name])
+            for name, values in self.cells.items():
+                values += [c[name] for c in row["cells"]]
+            self.cell_ends.append(len(self.cells["text"]))
+        self.row_ends.append(len(self.rows["row_no"]))
+
+    def batch(self) -> pa.RecordBatch:
+        cells = pa.StructArray.from_arrays([pa.array(self.cells[f.name], f.type) for f in _CELL], fields=list(_CELL))
+        listed = pa.ListArray.from_arrays(pa.array(self.cell_ends, pa.int32()), cells)
+        parts = [pa.array(self.rows["row_no"], pa.int32()), pa.array(self.rows["is_header"], pa.bool_()), listed]
+        rows = pa.ListArray.from_arrays(pa.array(self.row_ends, pa.int32()), pa.StructArray.from_arrays(parts, fields=list(_ROW)))
+        own = {n: pa.array(v, LEXED.field(n).type) for n, v in self.pages.items()} | {"rows": rows}
+        return pa.RecordBatch.from_arrays([own[n] for n in LEXED.names], schema=LEXED)
+
+
 def _lex(decode_escapes: bool, mark_empty: bool, batches):
     for b in batches:
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            rows = lexed_rows(doc_id, text, decode_escapes)
+            columns, rows = _Columns(), lexed_rows(doc_id, text, decode_escapes)
             if mark_empty and not rows:
                 rows = [{"doc_id": doc_id, "page_no": 0, "parameter": None, "rows": [], "error": None}]
+            for row in rows:
+                columns.add(row)
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=LEXED)
+                yield columns.batch()
 
 
 def lex(texts: DataFrame, decode_escapes: bool = False, mark_empty: bool = False) -> DataFrame:
