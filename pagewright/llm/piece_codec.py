@@ -2,10 +2,18 @@
 
 When no piece holds the white-space mark after another character, no merge crosses the start of a
 run of marks, so a text is the concatenation of its marked words (a run of marks and what follows
-up to the next mark), each segmented by itself. Of each batch, the distinct marked words that a
-worker's table lacks are segmented by the library in one call, and digits of ids and decoded bytes
-are joined back by position. The table is per worker and bounded, instead of one shuffled table of all words: that
-would move every word of the corpus with its position, many times the input.
+up to the next mark), each segmented by itself.
+
+1. Texts are read in slices, bounded by bytes and by different words. A slice numbers its distinct
+   marked words; a text becomes the numbers of its words, by position. The words are dealt into
+   buckets by their hash, and each (slice, bucket) is one compressed row: however often a word
+   stands in a slice, and however many texts have it, it is one entry.
+2. Buckets meet in one task each: every distinct marked word is segmented there once, by the library,
+   and its ids and decoded text go back to the slices that have it.
+3. Slices meet their texts' numbers again, and ids, digits and decoded texts are joined by position.
+
+A bucket holds the different words of a share of all words, a slice what its bounds allow, so no
+task's memory depends on how frequent a word is or on the number of texts.
 
 Defined cases: null is empty and gives the end id alone; texts without a space, very long ones
 included, are one chunk; empty tables, null or repeated ids and other columns pass.
@@ -15,24 +23,29 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import itertools
+import zlib
 
+import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import small_batches, text_of
+from pagewright.llm.shared import small_batches, stored, text_of
 
 MARK = "▁"
-TABLE_ROWS = 150_000
-CHUNK_CHARS = 64
+SLICE_WORDS = 250_000
+SLICE_BYTES = 32 << 20
+LEAST_BUCKETS, MOST_BUCKETS = 16, 8192
+AT_ONCE = 20_000
+TEXTS = 2**31 - 1  # the bucket of a slice's texts, after all others
 
 
-class PieceTable(dict):
-    """marked word (extra spaces + word) -> (number of ids, their digits, decoded bytes)."""
+class Pieces:
+    """The library's model and what holds for its marked words."""
 
     def __init__(self, path: str):
-        super().__init__()
         import sentencepiece
 
         self.model = m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -47,80 +60,206 @@ class PieceTable(dict):
         self.first = m.encode("a")
         self.shown = len(m.decode(self.first).encode())
 
-    def learn(self, words: list[str]) -> None:
+    def segment(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """The ids, as little-endian unsigned 32-bit bytes, and the decoded text of each word."""
         ids = self.model.encode(words, num_threads=1)
         if "" in words:  # one mark at the end of a text
             ids[words.index("")] = [self.lone]
         decoded = self.model.decode([self.first + i for i in ids], num_threads=1)
-        for w, i, d in zip(words, ids, decoded):
-            self[w] = (len(i), " ".join(map(str, i)).encode(), d.encode()[self.shown :])
-
-    def parts(self, text: str) -> list[str]:
-        """The marked words of a whole text, each without its first mark."""
-        if not text:
-            return []
-        parts = text.replace(MARK, " ").split(" ")
-        if "" not in parts:
-            return parts
-        words, spaces = [], 0
-        for p in parts:
-            if p:
-                words.append(" " * spaces + p)
-                spaces = 0
-            else:
-                spaces += 1
-        if spaces:
-            words.append(" " * (spaces - 1))
-        return words
-
-    def rows_of(self, texts: list[str]) -> list[list]:
-        """The table's rows of each text, in order."""
-        if len(self) > TABLE_ROWS:
-            self.clear()
-        split = list(map(self.parts, texts))
-        new = list(set(itertools.chain.from_iterable(split)).difference(self))
-        if new:
-            self.learn(new)
-        out = [[self[p] for p in parts] for parts in split]
-        for w in new:
-            if len(w) > CHUNK_CHARS:
-                del self[w]
-        return out
-
-    def decode_rows(self, rows: list) -> bytes:
-        """What decode() gives for the rows' ids and the end id: the first mark is no space."""
-        return b"".join([r[2] for r in rows])[1:]
+        return [(np.array(i, "<u4").tobytes(), d.encode()[self.shown :]) for i, d in zip(ids, decoded)]
 
 
 @functools.lru_cache(maxsize=2)
-def table(path: str) -> PieceTable:
-    return PieceTable(path)
+def pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+def marked_words(text: str) -> list[str]:
+    """The marked words of a whole text, each without its first mark; further marks are spaces."""
+    if not text:
+        return []
+    parts = text.replace(MARK, " ").split(" ")
+    if "" not in parts:
+        return parts
+    words, spaces = [], 0
+    for p in parts:
+        if p:
+            words.append(" " * spaces + p)
+            spaces = 0
+        else:
+            spaces += 1
+    if spaces:
+        words.append(" " * (spaces - 1))
+    return words
+
+
+def packed(*parts: bytes) -> bytes:
+    """Byte strings as one compressed one."""
+    sizes = np.array([len(p) for p in parts], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(bytes([len(parts)]) + sizes + b"".join(parts))
+
+
+def unpacked(data: bytes) -> list[bytes]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = raw[0]
+    ends = np.cumsum(np.frombuffer(raw, "<u8", n, 1)).astype(np.int64) + 1 + 8 * n
+    starts = [1 + 8 * n, *ends[:-1].tolist()]
+    return [raw[a:z] for a, z in zip(starts, ends.tolist())]
+
+
+def _listed(strings: list[bytes]) -> tuple[bytes, bytes]:
+    return np.array([len(s) for s in strings], "<u4").tobytes(), b"".join(strings)
+
+
+def _strings(sizes: bytes, data: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+    return [data[a:z] for a, z in zip([0, *ends], ends)]
+
+
+def _split_numbers(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """Low and high 16 bits apart: most of the high ones are zero."""
+    return (numbers & 0xFFFF).astype("<u2").tobytes(), (numbers >> 16).astype("<u2").tobytes()
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+class Slice:
+    """Texts and the numbers of their marked words."""
 
+    def __init__(self):
+        self.numbers, self.chunks, self.size = _Numbers(), [], 0
 
-def _encode(path: str, digests: bool, batches):
-    t = table(path)
-    end = str(t.end).encode()
+    def add(self, ids: pa.Array, texts: list[str]) -> None:
+        number = self.numbers.__getitem__
+        found = []
+        for text in texts:
+            words = marked_words(text)
+            found.append(np.fromiter(map(number, words), np.uint32, len(words)))
+            self.size += len(text)
+        self.chunks.append((ids, found))
+
+    def rows(self, name: int, buckets: int, kind: pa.DataType):
+        """Its words by bucket, then its texts. Words are numbered anew, bucket by bucket."""
+        words = [w.encode() for w in self.numbers]
+        bucket = np.array([zlib.crc32(w) % buckets for w in words], np.int32)
+        order = np.argsort(bucket, kind="stable")
+        new = np.empty(len(words), np.uint32)
+        new[order] = np.arange(len(words), dtype=np.uint32)
+        present, starts = np.unique(bucket[order], return_index=True)
+        ends = [*starts[1:].tolist(), len(words)]
+        data = [packed(*_listed([words[i] for i in order[a:z].tolist()])) for a, z in zip(starts.tolist(), ends)]
+        yield self._batch(name, present.tolist(), [None] * len(data), data, kind)
+        for ids, found in self.chunks:
+            sizes = np.array([len(f) for f in found], "<u4").tobytes()
+            flat = np.concatenate(found) if found else np.empty(0, np.uint32)
+            yield self._batch(name, [TEXTS], [ids.to_pylist()], [packed(sizes, *_split_numbers(new[flat]))], kind)
+
+    @staticmethod
+    def _batch(name: int, buckets: list[int], ids: list, data: list[bytes], kind: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([name] * len(data), pa.int64()), pa.array(buckets, pa.int32()), pa.array(ids, pa.list_(kind)), pa.array(data, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["slice", "bucket", "ids", "data"])
+
+
+def _slices(buckets: int, slice_words: int, batches):
+    """Each slice is named by its partition and its place in it."""
+    name, now = TaskContext.get().partitionId() << 32, Slice()
+    kind = None
+    for b in batches:
+        kind = b.schema.field("id").type
+        now.add(b.column("id"), b.column("text").to_pylist())
+        if len(now.numbers) > slice_words or now.size > SLICE_BYTES:
+            yield from now.rows(name, buckets, kind)
+            name, now = name + 1, Slice()
+    if now.chunks:
+        yield from now.rows(name, buckets, kind)
+
+
+def _segmented(path: str, batches):
+    """Rows sorted by bucket: the ids and decoded texts of each one's words."""
+    model, bucket, known = pieces(path), None, {}
+    for b in batches:
+        out = []
+        for now, data in zip(b.column("bucket").to_pylist(), b.column("data").to_pylist()):
+            if now != bucket:
+                bucket, known = now, {}
+            words = _strings(*unpacked(data))
+            new = [w for w in words if w not in known]
+            for k in range(0, len(new), AT_ONCE):
+                part = new[k : k + AT_ONCE]
+                known.update(zip(part, model.segment([w.decode() for w in part])))
+            found = [known[w] for w in words]
+            out.append(packed(*_listed([ids for ids, _ in found]), *_listed([decoded for _, decoded in found])))
+        yield pa.RecordBatch.from_arrays([b.column("slice"), b.column("bucket"), pa.nulls(b.num_rows, b.schema.field("ids").type), pa.array(out, pa.binary())], names=["slice", "bucket", "ids", "data"])
+
+
+class Encoded:
+    """The words of one slice: ids, their digits and the decoded bytes, by number."""
+
+    def __init__(self):
+        self.ids: list[bytes] = []
+        self.decoded: list[bytes] = []
+
+    def add(self, data: bytes) -> None:
+        sizes, ids, lengths, decoded = unpacked(data)
+        self.ids += _strings(sizes, ids)
+        self.decoded += _strings(lengths, decoded)
+
+    @functools.cached_property
+    def counts(self) -> np.ndarray:
+        return np.array([len(i) // 4 for i in self.ids], np.int64)
+
+    @functools.cached_property
+    def digits(self) -> list[bytes]:
+        return [" ".join(map(str, memoryview(i).cast("I"))).encode() for i in self.ids]
+
+
+def _joined(end: int, digests: bool, batches):
+    """Rows sorted by slice and bucket: each slice's words, then its texts."""
+    now, words = None, Encoded()
+    last = str(end).encode()
     for b in batches:
-        n, ids, decoded = [], [], []
-        for rows in t.rows_of(b.column("text").to_pylist()):
-            n.append(sum([r[0] for r in rows]) + 1)
-            back = t.decode_rows(rows)
-            if digests:
-                ids.append(hashlib.sha256(b" ".join([*[r[1] for r in rows], end])).hexdigest())
-                decoded.append(hashlib.sha256(back).hexdigest())
-            else:
-                ids.append([*(int(i) for r in rows for i in r[1].split()), t.end])
-                decoded.append(back.decode())
-        kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id"), pa.array(n, pa.int64()), pa.array(ids, kinds[0]), pa.array(decoded, kinds[1])], names=["id", "n_tokens", "ids", "decoded"]
-        )
-
-
-def piece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+        for name, bucket, ids, data in zip(*(b.column(c) for c in ("slice", "bucket", "ids", "data"))):
+            if name.as_py() != now:
+                now, words = name.as_py(), Encoded()
+            if bucket.as_py() != TEXTS:
+                words.add(data.as_py())
+                continue
+            sizes, low, high = unpacked(data.as_py())
+            flat = np.frombuffer(low, "<u2").astype(np.uint32) | np.frombuffer(high, "<u2").astype(np.uint32) << 16
+            ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+            n, encoded, decoded = [], [], []
+            for a, z in zip([0, *ends], ends):
+                place = flat[a:z]
+                n.append(int(words.counts[place].sum()) + 1)
+                place = place.tolist()
+                back = b"".join([words.decoded[i] for i in place])[1:]  # the first mark is no space
+                if digests:
+                    encoded.append(hashlib.sha256(b" ".join([*[words.digits[i] for i in place], last])).hexdigest())
+                    decoded.append(hashlib.sha256(back).hexdigest())
+                else:
+                    encoded.append([*np.frombuffer(b"".join([words.ids[i] for i in place]), "<u4").tolist(), end])
+                    decoded.append(back.decode())
+            kinds = (pa.string(), pa.string()) if digests else (pa.list_(pa.int32()), pa.string())
+            yield pa.RecordBatch.from_arrays([ids.values, pa.array(n, pa.int64()), pa.array(encoded, kinds[0]), pa.array(decoded, kinds[1])], names=["id", "n_tokens", "ids", "decoded"])
+
+
+def piece_codec(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False, buckets: int | None = None, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Per document: id, n_tokens, ids, decoded; with ``digests`` the SHA-256 of the ids' digits
-    (joined by a space) and of the decoded text instead, made where the ids are."""
+    (joined by a space) and of the decoded text instead, made where the ids are. ``buckets``: how many
+    the words are dealt into, four for each partition of the input if it is not given."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
-    shape = f"id {kind}, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string"
-    return df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(functools.partial(_encode, model, digests), shape).withColumnRenamed("id", id_col)
+    rows = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    if buckets is None:
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * rows.rdd.getNumPartitions()))
+    shape = f"slice long, bucket int, ids array<{kind}>, data binary"
+    sliced = stored(rows.mapInArrow(functools.partial(_slices, buckets, slice_words), shape), "slices")
+    words = sliced.where(F.col("bucket") < TEXTS).repartition("bucket").sortWithinPartitions("bucket")
+    both = words.mapInArrow(functools.partial(_segmented, model), shape).unionByName(sliced.where(F.col("bucket") == TEXTS))
+    out = f"id {kind}, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string"
+    joined = both.repartition("slice").sortWithinPartitions("slice", "bucket").mapInArrow(functools.partial(_joined, pieces(model).end, digests), out)
+    return joined.withColumnRenamed("id", id_col)
