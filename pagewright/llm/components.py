@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import stored
+from pagewright.llm.shared import delete, written
 
 
 def _sum(links: DataFrame) -> tuple:
@@ -23,20 +23,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Links of a node to itself and null ends count for nothing; repeats are harmless.
     """
-    links = stored(
+    links, path = written(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links"
     )
     was = _sum(links)
     while was[0]:
         both = links.unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = stored(both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m")), "least")
+        least, least_path = written(both.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("u"), F.least("hi", "m").alias("m")), "least")
         large = (
             both.where(F.col("lo") > F.col("hi")).join(least, F.col("hi") == F.col("u")).select(F.col("lo").alias("hi"), F.col("m").alias("lo")).distinct()
         )
         own = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(own.withColumnRenamed("hi", "u"), F.col("hi") == F.col("u")).where(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        links = stored(moved.unionByName(own.select("hi", F.col("m").alias("lo"))).distinct(), "links")
-        now = _sum(links)
+        links, new = written(moved.unionByName(own.select("hi", F.col("m").alias("lo"))).distinct(), "links")
+        for done in (path, least_path):  # the new table does without them
+            delete(edges.sparkSession, done)
+        path, now = new, _sum(links)
         if now == was:
             break
         was = now

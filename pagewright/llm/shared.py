@@ -1,64 +1,39 @@
-"""Helpers that the training-data operators share: scratch tables and Arrow batch size.
-
-Scratch tables go below the folder named by ``spark.checkpoint.dir``, which all executors
-and the driver see, so a lost executor costs a re-run of its tasks and no data.
-"""
+"""Helpers that the training-data operators share: scratch tables, Arrow batch size, internal names."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 512
-ARROW_BYTES = 4 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
+from pagewright.scratch import delete, scratch_path, stored, written
 
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session has ended: the shared folder's owner clears it
-        pass
+__all__ = ["delete", "fresh", "let", "scratch_path", "small_batches", "stored", "text_of", "written"]
 
-
-def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
-    """A new path in the shared folder; removed when the driver ends unless ``keep``."""
-    path = f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
-    if not keep:
-        atexit.register(_delete, spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df`` with a written table in the shared folder."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ARROW_ROWS = 512
+ARROW_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, by rows and, for very long texts, by bytes."""
+    """Bound what one Arrow batch holds, by rows and, for very long texts, by bytes. A setting of the
+    session: a lower one stays, and nothing but the size of batches depends on it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name one that no column of the table has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body`` (a lambda variable holds it)."""
     return F.element_at(F.transform(F.array(value), body), 1)

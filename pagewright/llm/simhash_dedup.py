@@ -9,9 +9,8 @@ every pair within the radius collides in some of the 2^(radius+1) - 1 tables.
 
 Only distinct fingerprints enter the tables. A bucket is linked by a search that shrinks: each
 member found is compared once with those not yet found, and one link is written for each member,
-never all pairs. A bucket of more than ``BUCKET`` members (named by a Misra-Gries summary of the
-bucket keys, counted exactly, then broadcast: its size is bound by the summary's) is dealt out as
-pairs of blocks, so that no task gets it whole and no pair is missed.
+never all pairs. Buckets are counted, and one of more than ``BUCKET`` members is dealt out as pairs of
+blocks, so that no task gets it whole and no pair is missed.
 
 Defined cases: null texts and texts without words have fingerprint zero; fewer than four words are
 one shingle; repeated ids each get a row; null ids are no component's smallest unless alone.
@@ -28,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.components import connected_components
-from pagewright.llm.heavy import frequent
-from pagewright.llm.shared import small_batches, stored, text_of
+from pagewright.llm.membership import split
+from pagewright.llm.shared import fresh, small_batches, stored, text_of
 
 BITS = 64
 RADIUS = 4
@@ -128,14 +127,12 @@ def _link(radius: int, batches):
 
 def spread_large(rows: DataFrame, item: str, bucket: int = BUCKET) -> DataFrame:
     """Rows (t, k, item) of buckets (t, k). A bucket of more than ``bucket`` rows is replaced by the
-    pairs of its blocks: any two of its items share at least one bucket of the result."""
-    named = rows.select(F.xxhash64("t", "k").alias("name"), "t", "k")
-    large = stored(
-        named.join(F.broadcast(frequent(named, "name").select("name")), "name", "left_semi").groupBy("t", "k").count().where(F.col("count") > bucket),
-        "large-buckets",
-    )
+    pairs of its blocks: any two of its items share at least one bucket of the result. Large buckets
+    are found by counting all of them (partial counts are summed, so a large one is no large task)."""
+    large = stored(rows.groupBy("t", "k").count().where(F.col("count") > bucket), "large-buckets")
     blocks = F.ceil(F.col("count") / (bucket // 2)).cast("long")
-    marked = rows.join(F.broadcast(large), ["t", "k"], "left").withColumn("n", F.coalesce(blocks, F.lit(1).cast("long")))
+    # the large buckets are at most the rows by ``bucket``: a plain join, which is a broadcast where they are few
+    marked = rows.join(large, ["t", "k"], "left").withColumn("n", F.coalesce(blocks, F.lit(1).cast("long")))
     dealt = marked.withColumn("b", F.pmod(F.xxhash64(item), F.col("n"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     pair = F.when(F.col("n") == 1, F.col("t")).otherwise(F.xxhash64("t", F.least("b", "other"), F.greatest("b", "other")))
     return dealt.select(pair.alias("t"), "k", item)
@@ -156,7 +153,7 @@ def with_components(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKE
     nodes = stored(prints.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("first")), "nodes")
     found = connected_components(links_between(nodes.select("fp"), radius, bucket))
     rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("least")), "least")  # a plain join side
     return prints.join(rooted.join(least, "root").select("fp", "least"), "fp")
 
 
@@ -169,14 +166,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
-    """The input's columns; of each component the row with the smallest id stays."""
+    """The input's columns; of each component the row with the smallest id stays.
+
+    Rows that are surely not dropped stay where they are and never shuffle (see ``membership``)."""
     prints = stored(fingerprints(df, id_col, text_col), "prints")
     groups = with_components(prints, radius, bucket).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least"))
     stays = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("h") == F.col("least.h"))
-    dropped = groups.where(~stays | (F.col("n") > 1)).select(F.col("id").alias("__id"), F.col("h").alias("__h"), stays.alias("__stays"))
-    keyed = df.withColumn("__text_hash", F.xxhash64(text_of(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__h"))
-    marked = keyed.join(dropped.hint("shuffle_hash"), same, "left").drop("__id", "__h")
-    clean = marked.where(F.col("__stays").isNull())
-    again = marked.where(F.col("__stays")).dropDuplicates([id_col, "__text_hash"])
-    return clean.unionByName(again).drop("__text_hash", "__stays")
+    dropped = stored(groups.where(~stays | (F.col("n") > 1)).select("id", "h", stays.alias("stays"), F.xxhash64("id", "h").alias("row_key")), "dropped")
+    text_hash, row_key, gone_id, gone_hash = fresh(df, "text_hash", "row_key", "gone_id", "gone_hash")
+    keyed = df.withColumn(text_hash, F.xxhash64(text_of(text_col)))
+    maybe, clean = split(keyed, F.xxhash64(F.col(id_col), F.col(text_hash)), dropped.select(F.col("row_key").alias(row_key)))
+    gone = dropped.select(F.col("id").alias(gone_id), F.col("h").alias(gone_hash), "stays")
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(text_hash) == F.col(gone_hash))
+    out = clean.unionByName(maybe.join(gone.hint("shuffle_hash"), same, "left_anti"))
+    again = gone.where("stays").drop("stays")
+    if not again.isEmpty():
+        out = out.unionByName(maybe.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, text_hash]))
+    return out.drop(text_hash)
