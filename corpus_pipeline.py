@@ -14,9 +14,9 @@ from pagewright.llm.exact_dedup import keep_first_copies
 from pagewright.llm.packing import best_fit_packing
 from pagewright.llm.quality_rules import keep_quality
 from pagewright.llm.queries import WORD_TOKENIZER
-from pagewright.llm.shared import scratch_path
 from pagewright.llm.simhash_dedup import keep_one_of_each
 from pagewright.llm.substring_dedup import keep_rest
+from pagewright.scratch import delete, scratch, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. A stage's scratch tables go when its result is written, and the
+    result goes when the next one's is."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
