@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _open: list[list[str]] = []
 
 
@@ -61,11 +62,25 @@ def scratch(spark: SparkSession):
             delete(spark, path)
 
 
+@contextlib.contextmanager
+def _no_shuffle_left(spark: SparkSession):
+    """What a query inside shuffles is deleted when it ends, not when the driver happens to collect
+    its garbage."""
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, was)
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a written table in the shared folder, which cuts its lineage, and the table's path."""
+    """``df`` as a written table in the shared folder, which cuts its lineage, and the table's path.
+    Shuffle files that led to it are not needed again and go at once."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _no_shuffle_left(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

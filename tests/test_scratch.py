@@ -30,3 +30,10 @@ def test_a_cluster_must_name_its_shared_folder(master, raises):
         assert scratch.shared_dir(session) == conf["spark.checkpoint.dir"]
     conf["spark.checkpoint.dir"] = "hdfs://shared/"
     assert scratch.shared_dir(session) == "hdfs://shared"
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """The setting holds for the write only."""
+    was = spark.conf.get(scratch.CLEANUP)
+    kept = scratch.stored(spark.range(1000).repartition(7, "id"), "dealt")
+    assert spark.conf.get(scratch.CLEANUP) == was and kept.count() == 1000 and kept.count() == 1000
