@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.heavy import frequent
-from pagewright.llm.shared import stored, text_of
+from pagewright.llm.membership import split
+from pagewright.llm.shared import fresh, stored, text_of
 
 TOP = 256
 MIN_SHARE = 1 / 1024
@@ -38,11 +39,16 @@ def digest_of(text: Column) -> Column:
     return F.unhex(F.sha2(normalised(text), 256))
 
 
+def row_key(id_col: str, text: Column) -> Column:
+    """64 bits of a row's id and text, to find rows that may be wanted."""
+    return F.xxhash64(F.col(id_col), text)
+
+
 def groups_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, min_share: float = MIN_SHARE) -> DataFrame:
-    """A row for each input row: id, rid, digest, group_size, keep_id, kept."""
+    """A row for each input row: id, rid, row_key, digest, group_size, keep_id, kept."""
     text = text_of(text_col)
     base = stored(
-        df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), digest_of(text).alias("digest"), F.octet_length(text).alias("len")),
+        df.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("rid"), digest_of(text).alias("digest"), F.octet_length(text).alias("len"), row_key(id_col, text).alias("row_key")),
         "digests",
     )
     total = base.count()
@@ -66,7 +72,7 @@ def groups_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", top
     small = rest.join(rest.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), winner), key)
     both = large.unionByName(small)
     return both.select(
-        "id", "rid", "digest", "group_size",
+        "id", "rid", "row_key", "digest", "group_size",
         F.col("win.id").alias("keep_id"),
         (F.col("rid") == F.col("win.rid")).alias("kept"),
     )
@@ -82,21 +88,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def keep_first_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's columns, one row of each group of equal texts (the one with the largest id).
 
-    Only the dropped rows' ids, digests and counts meet the texts, by a shuffled hash join that
-    builds on the narrow side and does not sort texts. Rows that repeat both id and text are
-    reduced to one by their row number within that (id, digest) pair.
-    """
+    Rows whose key is surely none of a dropped row stay where they are and never shuffle. The others
+    meet the dropped rows' ids and digests. Rows that repeat both id and text, if there are any, are
+    reduced to one."""
     text = text_of(text_col)
-    dropped = (
-        groups_of(df, id_col, text_col, **options)
-        .groupBy("id", "digest")
-        .agg(F.count_if(F.col("kept")).alias("stay"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("stay") < F.col("n"))
-        .select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("stay").alias("__stay"))
-    )
-    keyed = df.withColumn("__digest", digest_of(text))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (keyed["__digest"] == dropped["__digest"])
-    marked = keyed.join(dropped.hint("shuffle_hash"), same, "left").drop(dropped["__digest"]).drop("__id")
-    clean = marked.where(F.col("__stay").isNull())
-    again = marked.where(F.col("__stay") > 0).dropDuplicates([id_col, "__digest"])
-    return clean.unionByName(again).drop("__digest", "__stay")
+    groups = groups_of(df, id_col, text_col, **options).groupBy("id", "digest", "row_key").agg(F.count_if(F.col("kept")).alias("stay"), F.count(F.lit(1)).alias("n"))
+    dropped = stored(groups.where(F.col("stay") < F.col("n")), "dropped")
+    maybe, clean = split(df, row_key(id_col, text), dropped.select("row_key"))
+    digest, gone_id, gone_digest = fresh(df, "digest", "gone_id", "gone_digest")
+    keyed = maybe.withColumn(digest, digest_of(text))
+    gone = dropped.select(F.col("id").alias(gone_id), F.col("digest").alias(gone_digest), "stay")
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(digest) == F.col(gone_digest))
+    out = clean.unionByName(keyed.join(gone.hint("shuffle_hash"), same, "left_anti").drop(digest))
+    again = gone.where("stay > 0").drop("stay")
+    if not again.isEmpty():
+        out = out.unionByName(keyed.join(again.hint("shuffle_hash"), same, "left_semi").dropDuplicates([id_col, digest]).drop(digest))
+    return out

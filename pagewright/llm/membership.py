@@ -4,8 +4,8 @@ It spares shuffles: rows that surely have no partner stay where they are. ``BITS
 sent to the driver and the workers, whatever the data's size; a fuller bitmap lets more rows
 through and changes no result, since an exact join follows.
 
-``split`` does it with DataFrame functions alone: the bitmap is a table of at most BITS / SLOT rows,
-joined by broadcast. ``bitmap`` and ``maybe`` are for functions over Arrow batches.
+``split`` does it with DataFrame functions alone: the bitmap is a table of at most SPLIT_BITS / SLOT
+rows, joined by broadcast. ``bitmap`` and ``maybe`` are for functions over Arrow batches.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pagewright.llm.shared import fresh, stored
 
 BITS = 1 << 27
+SPLIT_BITS = 1 << 26
 SLOT = 32768  # bits of one row of bitmap_construct_agg
 
 
@@ -58,10 +59,10 @@ def split(df: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataF
     """(rows that may have a partner, rows that surely have none): ``key`` is a LONG of the rows, ``keys``
     a table of one LONG column. Of either's rows and columns nothing else is changed."""
     slot, bits, place = fresh(df, "slot", "bits", "place")
-    at = F.col(keys.columns[0]).bitwiseAND(F.lit(BITS - 1))
+    at = F.col(keys.columns[0]).bitwiseAND(F.lit(SPLIT_BITS - 1))
     marked = keys.select((at / SLOT).cast("int").alias(slot), (at % SLOT).alias("bit")).groupBy(slot).agg(F.bitmap_construct_agg("bit").alias(bits))
-    table = F.broadcast(stored(marked, "bitmap"))  # at most BITS / SLOT rows of SLOT bits
-    placed = df.withColumn(place, key.bitwiseAND(F.lit(BITS - 1))).withColumn(slot, (F.col(place) / SLOT).cast("int"))
+    table = F.broadcast(stored(marked, "bitmap"))  # at most SPLIT_BITS / SLOT rows of SLOT bits
+    placed = df.withColumn(place, key.bitwiseAND(F.lit(SPLIT_BITS - 1))).withColumn(slot, (F.col(place) / SLOT).cast("int"))
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.col(place) % SLOT / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     bit = byte.bitwiseAND(F.pow(F.lit(2), F.col(place) % 8).cast("int")) > 0
     found = placed.join(table, slot, "left").withColumn(bits, F.coalesce(bit, F.lit(False)))
