@@ -35,11 +35,12 @@ CONTROL = re.compile(r"<\|im_start\|>|<\|im_end\|>|<\|startoftext\|>|<\|endoftex
 ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
 
-_ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Names of the speakers in layouts that have their own; messages keep the roles that they give.
+SPEAKERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: name, an example whose field paths make the fingerprint, how to read the turns.
 MAPPINGS = (
     ("messages", {"messages": [{"role": "", "content": ""}]}, {"list": "messages", "role": "role", "text": "content"}),
-    ("conversations", {"conversations": [{"from": "", "value": ""}]}, {"list": "conversations", "role": "from", "text": "value"}),
+    ("conversations", {"conversations": [{"from": "", "value": ""}]}, {"list": "conversations", "role": "from", "text": "value", "roles": SPEAKERS}),
     ("prompt", {"prompt": "", "completion": ""}, {"fields": (("user", ("prompt",)), ("assistant", ("completion",)))}),
     ("prompt_response", {"prompt": "", "response": ""}, {"fields": (("user", ("prompt",)), ("assistant", ("response",)))}),
     ("instruction", {"instruction": "", "output": ""}, {"fields": (("user", ("instruction",)), ("assistant", ("output",)))}),
@@ -81,7 +82,8 @@ def turns_of(record, how: dict) -> list[tuple[str, str]]:
     record = record[how["under"]] if "under" in how else record
     if "list" in how:
         rows = ((_plain(r.get(how["role"])), _plain(r.get(how["text"]))) for r in record[how["list"]])
-        return [(_ROLES.get(role, role), text) for role, text in rows]
+        named = how.get("roles", {})
+        return [(named.get(role, role), text) for role, text in rows]
     found = ((role, "\n\n".join(filter(None, (_plain(record[f]) for f in names)))) for role, names in how["fields"])
     return [(role, text) for role, text in found if text or role != "system"]
 
@@ -157,7 +159,8 @@ def chat_format(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
 
 
 def message_records(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, record): rows by turn become one messages record for each conversation."""
+    """(conv, record): rows by turn become one messages record for each conversation. A conversation is
+    one training text, so its turns meet in one task; it is the only thing that does."""
     message = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("content"))
     grouped = df.groupBy(F.col(conv).alias("conv")).agg(F.sort_array(F.collect_list(message)).alias("m"))
     messages = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
@@ -169,6 +172,9 @@ def _digests(batches):
         rows = []
         spans = b.column("loss_spans").to_pylist()
         for text, marks in zip(b.column("formatted").to_pylist(), spans):
+            if text is None:
+                rows.append((None,) * 5)
+                continue
             turns, digest = read_back(text), hashlib.sha256()
             for role, said in turns:
                 digest.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
@@ -182,8 +188,9 @@ def _digests(batches):
 
 
 def digests_of(out: DataFrame, id_col: str) -> DataFrame:
-    """Read back from the formatted texts and loss masks: counts and digests of turns and loss."""
+    """Read back from the formatted texts and loss masks: counts and digests of turns and loss; nulls
+    for a record that could not be formatted."""
     kind = out.schema[id_col].dataType.simpleString()
-    rows = out.where(F.col("formatted").isNotNull()).select(F.col(id_col).alias("id"), "formatted", "loss_spans")
+    rows = out.select(F.col(id_col).alias("id"), "formatted", "loss_spans")
     shape = f"id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return rows.mapInArrow(_digests, shape).withColumnRenamed("id", id_col)

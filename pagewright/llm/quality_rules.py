@@ -20,7 +20,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.shared import let, text_of
+from pagewright.llm.shared import fresh, let, text_of
 
 SPACE = r"[ \t-\r]+"
 WINDOW = 5
@@ -124,6 +124,7 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_quality(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The input's rows and columns without those that the rules reject."""
-    measured = df.withColumn("__quality", statistics(text_of(text_col)))
-    v = _field(F.col("__quality"))
-    return measured.where(~base_failed(v) & compiled(v, rules)).drop("__quality")
+    quality = fresh(df, "quality")[0]
+    measured = df.withColumn(quality, statistics(text_of(text_col)))
+    v = _field(F.col(quality))
+    return measured.where(~base_failed(v) & compiled(v, rules)).drop(quality)
