@@ -56,7 +56,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = piece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER), digests=True)
+    out = piece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_TOKENIZER), digests=True, reread=True)
     return out.withColumnsRenamed({"ids": "ids_sha256", "decoded": "decoded_sha256"})
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -177,3 +178,72 @@ def test_piece_codec(hard, empty, pairs):
     short = [(i, n, digest(" ".join(map(str, ids))), digest(back)) for i, n, ids, back in expected]
     assert sorted(map(tuple, piece_codec.piece_codec(df, MODEL, digests=True).collect()), key=key) == sorted(short, key=key)
     assert piece_codec.piece_codec(empty, MODEL).count() == 0
+
+
+def test_words_are_segmented_once(monkeypatch):
+    """All slices' rows of one bucket go through one table; a slice keeps its own order of words."""
+    import pyarrow as pa
+
+    real, seen = piece_codec.pieces(MODEL), []
+
+    class Spy:
+        def segment(self, words):
+            seen.extend(words)
+            return real.segment(words)
+
+    monkeypatch.setattr(piece_codec, "pieces", lambda path: Spy())
+    texts = [["the cat  sat the", "▁▁ the end "], ["the end of the cat", "", "a" * 70_000]]
+    slices = []
+    for part in texts:
+        one = piece_codec.Slice()
+        one.add(pa.array(range(len(part))), part)
+        slices.append([one.words(1, pa.int64()), *one.texts(pa.int64())])
+    words = pa.Table.from_batches([s[0].slice(0, 1) for s in slices]).combine_chunks().to_batches()
+    assert sum(b.num_rows for b in words) == 2
+    found = list(piece_codec._segmented(MODEL, words))
+    distinct = {w for part in texts for t in part for w in piece_codec.marked_words(t)}
+    assert len(seen) == len(set(seen)) == len(distinct)
+    data = [r for b in found for r in b.column("data").to_pylist()]
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for k, part in enumerate(texts):
+        rows = [(k, 0, None, data[k]), *((k, *r) for s in (slices[k][0].slice(1), slices[k][1]) for r in zip(*(s.column(c).to_pylist() for c in ("bucket", "ids", "data"))))]
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+        own = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["slice", "bucket", "ids", "data"])
+        rows = pa.Table.from_batches(piece_codec._joined(real.end, False, [own])).to_pylist()
+        assert [(r["ids"], r["decoded"]) for r in rows] == [(model.encode(t, add_eos=True), model.decode(model.encode(t))) for t in part]
+
+
+@pytest.mark.parametrize(("buckets", "slice_words"), [(1, 1), (5, 10), (300, 250_000)])
+def test_slices_and_buckets_change_nothing(spark, hard, pairs, buckets, slice_words):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    out = piece_codec.piece_codec(hard, MODEL, buckets=buckets, slice_words=slice_words).collect()
+    assert sorted(((r.doc_id, r.ids) for r in out), key=key) == sorted(((i, model.encode(t or "", add_eos=True)) for i, t in pairs), key=key)
+
+
+def test_reading_the_input_twice(spark, hard, pairs, tmp_path):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    hard.select("doc_id", "text").write.parquet(f"{tmp_path}/docs")
+    files = spark.read.parquet(f"{tmp_path}/docs")
+    out = piece_codec.piece_codec(files, MODEL, reread=True, slice_words=500).collect()
+    assert sorted(((r.doc_id, r.ids, r.decoded) for r in out), key=key) == sorted(((i, model.encode(t or "", add_eos=True), model.decode(model.encode(t or ""))) for i, t in pairs), key=key)
+    import pyarrow as pa
+
+    one = piece_codec.Slice()
+    one.add(pa.array([1]), ["a b"])
+    with pytest.raises(ValueError, match="another order"):
+        list(piece_codec._joined(2, False, one.texts(pa.int64())))
+
+
+def test_packed_parts_round_trip():
+    for parts in ([], [b""], [b"", b"a" * 100_000, b"\x00\xff"], [b"x"] * 9):
+        assert piece_codec.unpacked(piece_codec.packed(*parts)) == parts
+    for numbers in ([], [0], [255, 256, 0], [1 << 31, 7], [65_535] * 5):
+        assert piece_codec.numbers_of(piece_codec.planes(np.array(numbers, np.uint32))).tolist() == numbers
+
+
+def test_cache_has_a_part_for_each_tokenizer(spark, hard, pairs, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    by_json, by_model = (token_counts.token_counts(hard, p, cache).collect() for p in (JSON, MODEL))
+    assert len(spark.read.parquet(cache).select("tokenizer").distinct().collect()) == 2
+    assert sorted(map(tuple, by_model), key=key) == sorted(map(tuple, token_counts.token_counts(hard, MODEL, cache).collect()), key=key)
+    assert sorted(map(tuple, by_json), key=key) == sorted(map(tuple, token_counts.token_counts(hard, JSON).collect()), key=key)
