@@ -6,9 +6,10 @@ about ``TARGET`` pieces, ``LEAST_PARTS`` at least, each packed by best-fit decre
 from dual feasible functions (the identity, the threshold family and the rounding family) certify
 each partition's bin count, the last one's too. A partition whose count is over its bound gives up
 its worst-filled bins, a certified one only its single worst bin; what is given up is dealt anew
-over as many partitions as its number needs, and best-fit decreasing runs again. Rounds end when one
-partition held all that was left, or when a round gave up more than half of what it got: then the
-partitions keep what they packed, so none ever holds much more than ``TARGET`` pieces.
+over as many partitions as its number needs, three quarters of those before at most, and best-fit
+decreasing runs again. Rounds end when one partition held all that was left, or when the next one's
+partitions would hold more than ``MOST`` times ``TARGET`` pieces each, which is where bounds are
+weak and rounds give up much: then the partitions keep what they packed.
 
 Defined cases: a null text is empty (its one piece is the end id); repeated or null ids are packed
 as they come; an empty table gives an empty result; other columns are ignored.
@@ -31,6 +32,7 @@ LENGTH = 2048
 END = 0
 TARGET = 100_000
 LEAST_PARTS = 4
+MOST = 4
 FIELDS = ("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified", "moves")
 
 
@@ -143,10 +145,11 @@ def best_fit_packing(df: DataFrame, tokenizer: str, length: int = LENGTH, id_col
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(round_no)), F.lit(parts)).cast("long")).repartition(parts, "part")
         packed = stored(dealt.mapInArrow(functools.partial(_pack, length, round_no), shape), "packed")
         moving = packed.where("moves")
-        had, left = left, moving.count()
-        if parts == 1 or 2 * left > had:
+        left = moving.count()
+        fewer = min(-(-left // target), max(1, parts * 3 // 4))
+        if parts == 1 or left > MOST * target * fewer:
             return done.unionByName(packed.select(*FIELDS[:8])).withColumnRenamed("id", id_col)
         done = done.unionByName(packed.where("not moves").select(*FIELDS[:8]))
         rest = moving.drop(*FIELDS[5:])
-        parts, round_no = -(-left // target), round_no + 1
+        parts, round_no = fewer, round_no + 1
     return done.withColumnRenamed("id", id_col)
