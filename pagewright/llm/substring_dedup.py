@@ -1,22 +1,26 @@
 """Substring dedup: paragraph MinHash banding.
 
-A text is cut into short paragraphs at content-defined words: a word starts a paragraph if the hash
-of the three words from it on is the smallest within ``REACH`` words on either side. The cuts
-depend on the words around them only, so a passage is cut alike wherever it stands.
+Paragraphs are of two kinds. A text is cut into short ones at content-defined words: a word starts a
+paragraph if the hash of the three words from it on is the smallest within ``REACH`` words on either
+side (of equal hashes the first counts; where words recur within reach, every ``RUN`` words from the
+start of that on). These cuts depend on the words around them only, so a
+passage is cut alike wherever it stands, also in the middle of a line. And each line of ``PASSAGE``
+words or more is a paragraph, long enough to be found with some of its words changed.
 
 1. Paragraphs of ``LEAST`` words or more get a 64-bit identity and ``BANDS`` x ``ROWS`` MinHash
    values over 5-word shingles. For similarity s a pair collides in some band with probability
    1 - (1 - s^ROWS)^BANDS: 0.983 at 0.8, 0.999 at 0.9, and 1 for equal paragraphs.
-2. Bands are dealt by their key; keys with two or more different paragraphs are kept. Equal
-   paragraphs count once (repeats are dropped before the shuffle as far as a task sees them).
-3. Colliding paragraphs are verified by exact Jaccard similarity (0.8 or more) on their words,
-   by a search that shrinks and writes one link for each member, never all pairs; a bucket of
+2. Bands are dealt by their key, in arrays, into buckets that grow in number with the input; keys with
+   two or more different paragraphs are kept. Equal paragraphs count once (repeats are dropped before
+   the shuffle as far as a task sees them); which ones stand in two places is found on the way.
+3. Colliding paragraphs are verified by exact Jaccard similarity (0.8 or more) on their shingles (as
+   64-bit hashes), by a search that shrinks and writes one link for each member, never all pairs; a bucket of
    many different paragraphs is dealt out as pairs of blocks.
 4. Connected components of the links are the clusters. Each cluster's first paragraph, by document
-   and place, stays. The others are extended word by word while the words before and after equal
-   those around the first one; joined spans of ``PASSAGE`` words or more are cut out. Only where the
-   same paragraph adjoins both is there nothing to extend: it is a repeat of its own. Words are read
-   ``AROUND`` at a time, and more of them while all are equal.
+   and place, stays, and so does what overlaps it. The others are extended word by word while the
+   words before and after equal those around the first one; joined spans of ``PASSAGE`` words or more
+   are cut out. Only where the same paragraph adjoins both is there nothing to extend: it is a repeat
+   of its own. Words are read ``AROUND`` at a time, and more of them while all are equal.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` and compared after lower-casing A-Z. Bitmaps of fixed size (see
 ``membership``) keep rows without a partner out of the later shuffles, and exact joins decide; texts
@@ -24,7 +28,7 @@ without a removal never shuffle.
 
 Defined cases: null texts are empty and stay null when kept; texts of fewer than ``LEAST`` words
 have no paragraph; rows that repeat id and text are one document and each get its result; a null id
-comes after all others; empty tables and other columns pass.
+comes after all others; empty tables and other columns, whatever their names, pass.
 """
 
 from __future__ import annotations
@@ -40,8 +44,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.components import connected_components
-from pagewright.llm.membership import bitmap, maybe
-from pagewright.llm.shared import small_batches, stored, text_of
+from pagewright.llm.membership import bitmap, maybe, split
+from pagewright.llm.shared import delete, fresh, small_batches, stored, text_of, written
 from pagewright.llm.simhash_dedup import spread_large
 
 REACH = 5
@@ -52,10 +56,14 @@ BANDS, ROWS = 4, 2
 PASSAGE = 50
 AROUND = 32
 MORE = 32
+RUN = 64
 STEP = 0x5851F42D
-BUCKET = 2048
+BUCKET = 1024
+SET_MOST = 512
 SEEN_ROWS = 300_000
 SLICE = 1 << 19
+FLUSH = 1 << 19
+LEAST_BUCKETS, MOST_BUCKETS = 16, 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -101,8 +109,8 @@ def _grams(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Paragraphs:
-    """The paragraphs of a batch of texts, in arrays. ``doc``: the text's place in the batch;
-    ``a`` and ``z``: its words, from and to, within the text."""
+    """The paragraphs of a batch of texts, in arrays: first the short ones, then the long lines.
+    ``doc``: the text's place in the batch; ``a`` and ``z``: its words, from and to, within the text."""
 
     def __init__(self, texts: list[str]):
         raw = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
@@ -119,7 +127,7 @@ class Paragraphs:
         own = np.repeat(np.arange(len(texts)), self.counts)
         place = np.arange(n) - self.first[own] if n else np.empty(0, np.int64)
         left = self.counts[own] - place if n else place
-        cut = np.zeros(n, bool)
+        cut, again = np.zeros(n, bool), np.zeros(n, bool)
         if n:
             g = np.where(left >= 3, _grams(x, 3), np.uint64(2**64 - 1))
             cut = left >= 3
@@ -128,16 +136,40 @@ class Paragraphs:
                     # the smallest within reach, among words of the same text
                     together = own[k:] == own[:-k]
                     cut[k:] &= ~together | (g[k:] < g[:-k])
-                    cut[:-k] &= ~together | (g[:-k] < g[k:])
+                    cut[:-k] &= ~together | (g[:-k] <= g[k:])
+                    again[k:] |= together & (g[k:] == g[:-k]) & (left[k:] >= 3)
+            begins = np.flatnonzero(again & ~np.concatenate(([False], again[:-1])))
+            if len(begins):  # in a run of a few words over and over, from its start on
+                where = np.flatnonzero(again)
+                cut[where] |= (where - begins[np.searchsorted(begins, where, side="right") - 1]) % RUN == 0
             cut |= place == 0
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], n)
         ends = np.minimum(ends, self.first[own[starts]] + self.counts[own[starts]]) if len(starts) else ends
         keep = ends - starts >= LEAST
-        self.start, self.end = starts[keep], ends[keep]
+        lines = self._long_lines(byte, own, starts[keep], ends[keep])
+        self.start, self.end = (np.concatenate((short[keep], long)) for short, long in zip((starts, ends), lines))
+        self.n_short = int(keep.sum())
+        #: Whether the paragraph may be similar to one of other words: with three shingles at most it is
+        #: not, since one shingle more or less is a quarter, unless words recur within three places.
+        recurs = np.cumsum(np.concatenate(([0], again))) if n else np.zeros(1, np.int64)
+        self.alike = (self.end - self.start >= SHINGLE + 3) | (recurs[self.end] > recurs[self.start])
         self.doc = own[self.start]
         self.a, self.z = self.start - self.first[self.doc], self.end - self.first[self.doc]
 
+    def _long_lines(self, byte: np.ndarray, own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lines of ``PASSAGE`` words or more that are no short paragraph."""
+        line = np.cumsum(byte == 10)[self.starts]
+        first = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (own[1:] != own[:-1])))) if len(own) else np.empty(0, np.int64)
+        last = np.append(first[1:], len(own))[: len(first)]
+        long = last - first >= PASSAGE
+        first, last = first[long], last[long]
+        if len(starts) and len(first):
+            at = np.minimum(np.searchsorted(starts, first), len(starts) - 1)
+            new = (starts[at] != first) | (ends[at] != last)
+            first, last = first[new], last[new]
+        return first, last
+
     def identity(self) -> np.ndarray:
         """64 bits that depend on all words and their order."""
         if not len(self.start):
@@ -148,14 +180,18 @@ class Paragraphs:
         """For each band, the paragraphs' keys."""
         if not len(self.start):
             return [np.empty(0, np.uint64)] * BANDS
-        grams = _grams(self.hash, SHINGLE)
+        grams = self.grams
         spans = np.column_stack((self.start, self.end - SHINGLE + 1)).ravel()
         least = [np.minimum.reduceat(_mixed(grams * a + b), spans)[::2] for a, b in _PERMUTE]
         return [functools.reduce(lambda k, v: _mixed(k * _M1 + v), least[i * ROWS : (i + 1) * ROWS]) for i in range(BANDS)]
 
-    def text(self, i: int) -> str:
-        part = self.data[self.starts[self.start[i]] : self.ends[self.end[i] - 1]]
-        return b" ".join(part.split()).decode("utf-8", "replace")
+    def shingles(self, i: int) -> bytes:
+        """64-bit hashes of a paragraph's different shingles."""
+        return np.unique(self.grams[self.start[i] : self.end[i] - SHINGLE + 1]).tobytes()
+
+    @functools.cached_property
+    def grams(self) -> np.ndarray:
+        return _grams(self.hash, SHINGLE)
 
     def around(self, doc: int, place: int, side: int, limit: int) -> bytes:
         """32-bit hashes of up to ``limit`` words before (side 0, nearest first) or from a place on."""
@@ -185,63 +221,89 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _identities(batches):
-    for b in slices(batches):
-        p = Paragraphs(b.column("text").to_pylist())
-        rows = pa.array(p.doc)
-        yield pa.RecordBatch.from_arrays([_long(p.identity()), b.column("id").take(rows), b.column("h").take(rows), pa.array(p.a.astype(np.int32))], names=["u", "id", "h", "a"])
+class _Dealt:
+    """Keys and identities on their way to their buckets, as arrays: a row for each bucket and flush."""
 
+    names = ("bucket", "keys", "units", "same")
 
-def _bands(batches):
-    """Each paragraph's keys, without the repeats that this task has seen lately."""
-    seen: set[int] = set()
+    def __init__(self, buckets: int):
+        self.buckets, self.keys, self.units, self.same, self.n = np.uint64(buckets), [], [], [], 0
+
+    def add(self, keys: list[np.ndarray], units: np.ndarray, same: np.ndarray) -> None:
+        self.keys += keys
+        self.units += [units] * len(keys)
+        self.same.append(same)
+        self.n += len(keys) * len(units) + len(same)
+
+    def _parts(self, by: np.ndarray, *columns: np.ndarray) -> list[list[bytes]]:
+        """Each column's bytes by bucket."""
+        bucket = ((by >> np.uint64(32)) % self.buckets).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.cumsum(np.bincount(bucket, minlength=int(self.buckets))).tolist()
+        return [[c[order[a:z]].tobytes() for a, z in zip([0, *ends], ends)] for c in columns]
+
+    def flush(self) -> pa.RecordBatch:
+        keys, units, same = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (self.keys, self.units, self.same))
+        parts = [*self._parts(keys, keys, units), *self._parts(same, same)]
+        self.keys, self.units, self.same, self.n = [], [], [], 0
+        return pa.RecordBatch.from_arrays([pa.array(range(int(self.buckets)), pa.int32()), *(pa.array(p, pa.binary()) for p in parts)], names=list(self.names))
+
+
+def _deal(buckets: int, batches):
+    """The identities of all paragraphs, and the keys of those that may be similar to another; twice and
+    once at most, as far as this task has seen them lately."""
+    seen: dict[int, int] = {}
+    dealt = _Dealt(buckets)
     for b in slices(batches):
         p = Paragraphs(b.column("text").to_pylist())
-        u, where = np.unique(p.identity(), return_index=True)
-        new = np.array([x not in seen for x in u.tolist()], bool)
-        u, where = u[new], where[new]
+        units, where, counts = np.unique(p.identity(), return_index=True, return_counts=True)
+        before = np.array([seen.get(x, 0) for x in units.tolist()], np.int64)
+        times = np.minimum(2 - before, counts)
+        new = (before == 0) & p.alike[where]
+        dealt.add([_mixed(keys[where[new]] + np.uint64(i)) for i, keys in enumerate(p.bands())], units[new], np.repeat(units, times))
         if len(seen) > SEEN_ROWS:
             seen.clear()
-        seen.update(u.tolist())
-        for i, keys in enumerate(p.bands()):
-            yield pa.RecordBatch.from_arrays([_long(_mixed(keys[where] + np.uint64(i))), _long(u)], names=["k", "u"])
-
-
-def _several(batches):
-    """Rows sorted by (k, u): those of the keys that have two or more different u, each once."""
-    keys, units = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def kept(k, u, last):
-        if not len(k):
-            return None, 0
-        cut = np.flatnonzero(k[1:] != k[:-1]) + 1
-        starts = np.concatenate(([0], cut))
-        rest = len(k) if last else int(starts[-1])
-        new = np.concatenate(([True], (k[1:] != k[:-1]) | (u[1:] != u[:-1])))
-        number = np.add.reduceat(new.astype(np.int64), starts)
-        group = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
-        take = new & (number[group] > 1)
-        take[rest:] = False
-        return pa.RecordBatch.from_arrays([pa.array(k[take]), pa.array(u[take])], names=["k", "u"]), rest
-
+        seen.update(zip(units.tolist(), (before + times).tolist()))
+        if dealt.n > FLUSH:
+            yield dealt.flush()
+    if dealt.n:
+        yield dealt.flush()
+
+
+def _met(batches):
+    """Rows sorted by bucket: the keys that two or more different paragraphs have, with each of these
+    once; and, without a key, the paragraphs that stand in two or more places."""
+
+    def found(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        keys, units, same = (np.frombuffer(b"".join(column), np.uint64) for column in zip(*rows))
+        order = np.lexsort((units, keys))
+        keys, units = keys[order], units[order]
+        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (units[1:] != units[:-1]))) if len(keys) else np.empty(0, bool)
+        keys, units = keys[new], units[new]
+        next_one = keys[1:] == keys[:-1]
+        several = np.concatenate(([False], next_one)) | np.concatenate((next_one, [False])) if len(keys) else new
+        again, counts = np.unique(same, return_counts=True)
+        again = again[counts > 1]
+        key = pa.array(np.concatenate((keys[several], again)).view(np.int64), mask=np.repeat([False, True], [int(several.sum()), len(again)]))
+        return pa.RecordBatch.from_arrays([key, _long(np.concatenate((units[several], again)))], names=["k", "u"])
+
+    bucket, rows = None, []
     for b in batches:
-        if not b.num_rows:
-            continue
-        keys = np.concatenate((keys, b.column("k").to_numpy(zero_copy_only=False)))
-        units = np.concatenate((units, b.column("u").to_numpy(zero_copy_only=False)))
-        out, rest = kept(keys, units, False)
-        # what is left is one key: its repeats are of no use
-        keys, units = keys[rest:], np.unique(units[rest:])
-        keys = keys[: len(units)]
-        yield out
-    out, _ = kept(keys, units, True)
-    if out is not None:
-        yield out
+        for now, *row in zip(*(b.column(n).to_pylist() for n in _Dealt.names)):
+            if now != bucket and rows:
+                yield found(rows)
+                rows = []
+            bucket = now
+            rows.append(row)
+    if rows:
+        yield found(rows)
 
 
 def _members(colliding, repeated, batches):
-    """Paragraphs that may have a partner: the words of those that may collide, the word next to
-    them on either side, and the paragraph that adjoins them there, if one does."""
+    """Paragraphs that may have a partner: the shingles of those that may collide (not again, where this
+    task has given them lately), the word next to them on either side, and the paragraph that adjoins
+    them there, if one does."""
+    seen: set[int] = set()
     for b in slices(batches):
         p = Paragraphs(b.column("text").to_pylist())
         u = p.identity()
@@ -251,19 +313,22 @@ def _members(colliding, repeated, batches):
             continue
         joined = (p.doc[:-1] == p.doc[1:]) & (p.end[:-1] == p.start[1:])
         own = u.view(np.int64)
-        # none at the ends of a text
-        no_word = (p.a[at] == 0, p.z[at] == p.counts[p.doc[at]])
+        # none at the ends of a text; nor for long lines: the short paragraphs beside them are extended
+        no_word = tuple(end | (at >= p.n_short) for end in (p.a[at] == 0, p.z[at] == p.counts[p.doc[at]]))
         words = (p.short[p.start[at] - 1], p.short[np.minimum(p.end[at], len(p.short) - 1)])
         no_unit = (~np.concatenate(([False], joined))[at], ~np.concatenate((joined, [False]))[at])
         units = (np.roll(own, 1)[at], np.roll(own, -1)[at])
         rows = pa.array(p.doc[at])
+        shingles_of = [None if not m or x in seen or seen.add(x) else p.shingles(i) for i, m, x in zip(at.tolist(), met[at].tolist(), u[at].tolist())]
+        if len(seen) > SEEN_ROWS:
+            seen.clear()
         yield pa.RecordBatch.from_arrays(
             [
                 _long(u[at]), b.column("id").take(rows), b.column("h").take(rows), pa.array(p.a[at].astype(np.int32)), pa.array(p.z[at].astype(np.int32)),
-                pa.array([p.text(i) if m else None for i, m in zip(at.tolist(), met[at].tolist())], pa.string()),
+                pa.array(shingles_of, pa.binary()),
                 *(pa.array(w.view(np.int32), mask=n) for w, n in zip(words, no_word)), *(pa.array(x, mask=n) for x, n in zip(units, no_unit)),
             ],
-            names=["u", "id", "h", "a", "z", "words", "word0", "word1", "unit0", "unit1"],
+            names=["u", "id", "h", "a", "z", "shingles", "word0", "word1", "unit0", "unit1"],
         )
 
 
@@ -273,14 +338,10 @@ def _key(h, place, side):
     return h ^ number if isinstance(h, np.ndarray) else h.bitwiseXOR(number)
 
 
-def _around(places, texts, limit: int, anywhere: bool, batches):
+def _around(places, limit: int, anywhere: bool, batches):
     """Hashes of the words on one side of places that may be wanted: of paragraphs' ends, or of any word."""
     seen: set[int] = set()
     for b in slices(batches):
-        h = b.column("h").to_numpy(zero_copy_only=False)
-        b = b.filter(pa.array(maybe(texts.value, h.view(np.uint64))))
-        if not b.num_rows:
-            continue
         h, p = b.column("h").to_numpy(zero_copy_only=False), Paragraphs(b.column("text").to_pylist())
         out: list[list] = [[], [], [], []]
         for side in (0, 1):
@@ -301,19 +362,37 @@ def _around(places, texts, limit: int, anywhere: bool, batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["h", "place", "side", "near"])
 
 
-def shingles(text: str, n: int = SHINGLE) -> frozenset[str]:
+def shingles(text: str, n: int = SHINGLE) -> frozenset[int]:
+    """64-bit hashes of the runs of n words; of all words, if they are fewer."""
     words = text.split()
-    return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
+    return frozenset(map(hash, zip(*(words[i:] for i in range(n))))) if len(words) >= n else frozenset([hash(tuple(words))])
+
+
+def common(x, y) -> int:
+    """How many shingles are in both, for sets or sorted arrays."""
+    if isinstance(x, frozenset) and isinstance(y, frozenset):
+        return len(x & y)
+    x, y = (np.sort(np.fromiter(v, np.uint64, len(v))) if isinstance(v, frozenset) else v for v in (x, y))
+    return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def similar(x: frozenset, y: frozenset, least: float = SIMILAR) -> bool:
-    both = len(x & y)
+def similar(x, y, least: float = SIMILAR) -> bool:
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    both = common(x, y)
     return both >= least * (len(x) + len(y) - both)
 
 
-def link_similar(units: list[int], texts: list[str], least: float = SIMILAR) -> list[tuple[int, int]]:
-    """(root, member) links that join a bucket's paragraphs as all its similar pairs would."""
-    left = [(u, shingles(t)) for u, t in sorted(dict(zip(units, texts)).items())]
+def link_similar(units: list[int], texts: list, least: float = SIMILAR) -> list[tuple[int, int]]:
+    """(root, member) links that join a bucket's paragraphs as all its similar pairs would. ``texts``:
+    the paragraphs, or their shingles' hashes as bytes, sorted."""
+
+    def held(t):
+        """A set, which is faster; for long lines the array, which takes a tenth of the memory."""
+        own = np.frombuffer(t, np.uint64)
+        return frozenset(own.tolist()) if len(own) <= SET_MOST else own
+
+    left = [(u, shingles(t) if isinstance(t, str) else held(t)) for u, t in sorted(dict(zip(units, texts)).items())]
     links = []
     while len(left) > 1:
         (root, own), left = left[0], left[1:]
@@ -332,12 +411,12 @@ def _verified(batches):
     now, units, texts = None, [], []
     for b in batches:
         links = []
-        for t, k, u, words in zip(*(b.column(n).to_pylist() for n in ("t", "k", "u", "words"))):
+        for t, k, u, own in zip(*(b.column(n).to_pylist() for n in ("t", "k", "u", "shingles"))):
             if (t, k) != now:
                 links += link_similar(units, texts)
                 now, units, texts = (t, k), [], []
             units.append(u)
-            texts.append(words)
+            texts.append(own)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
     links = link_similar(units, texts)
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
@@ -372,12 +451,15 @@ def _extensions(docs: DataFrame, later: DataFrame, kind: str, around: int) -> Da
     while True:
         both = edges.select("h", "place", "side").unionByName(edges.select(F.col("fh").alias("h"), F.col("fplace").alias("place"), "side"))
         places = bitmap(both.select(_key(F.col("h"), F.col("place").cast("long"), F.col("side")).alias("k")), "k")
-        near = docs.select("h", "text").mapInArrow(functools.partial(_around, places, bitmap(both.select("h"), "h"), limit, found is not None), "h long, place int, side int, near binary")
-        near = stored(near, "near").groupBy("h", "place", "side").agg(F.min("near").alias("near"))
-        near = stored(near, "near-once")  # a plain join side: a place that many rows meet may be split
+        texts, _ = split(docs.select("h", "text"), F.col("h"), both.select("h"))
+        near = texts.mapInArrow(functools.partial(_around, places, limit, found is not None), "h long, place int, side int, near binary")
+        near, path = written(near, "near")
+        near, once = written(near.groupBy("h", "place", "side").agg(F.min("near").alias("near")), "near-once")  # a plain join side: a place that many rows meet may be split
         first = near.select(F.col("h").alias("fh"), F.col("place").alias("fplace"), "side", F.col("near").alias("first_near"))
         met = edges.join(near, ["h", "place", "side"]).join(first, ["fh", "fplace", "side"]).select("id", "h", "place", "fh", "fplace", "side", "keep_id", "near", "first_near")
         done = stored(met.mapInArrow(_extended, f"id {kind}, h long, place int, fh long, fplace int, side int, keep_id {kind}, n int"), "extended")
+        for done_with in (path, once):
+            delete(docs.sparkSession, done_with)
         back = F.col("side") == 0
         here = done.where("n > 0").select("id", "h", F.when(back, F.col("place") - F.col("n")).otherwise(F.col("place")).alias("a"), F.when(back, F.col("place")).otherwise(F.col("place") + F.col("n")).alias("z"), "keep_id")
         found = here if found is None else found.unionByName(here)
@@ -387,28 +469,40 @@ def _extensions(docs: DataFrame, later: DataFrame, kind: str, around: int) -> Da
         edges, limit = edges.withColumns({"place": F.col("place") + step, "fplace": F.col("fplace") + step}).drop("n"), limit * MORE
 
 
+def _once(colliding: DataFrame) -> DataFrame:
+    """Without keys that bring together the same paragraphs as another key does (two paragraphs that
+    are near collide in most bands). Sets are compared by size and 128 bits of hash."""
+    marks = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("u")), F.bit_xor(F.xxhash64("u", F.lit(1))))
+    sets = colliding.groupBy("k").agg(*(m.alias(f"m{i}") for i, m in enumerate(marks)))
+    keys = stored(sets.groupBy("m0", "m1", "m2").agg(F.min("k").alias("k")).select("k"), "keys")  # a plain join side
+    return stored(colliding.join(keys, "k", "left_semi"), "once")
+
+
 def removals(docs: DataFrame, bucket: int = BUCKET, around: int = AROUND) -> DataFrame:
     """(id, h, spans): for each document with repeated paragraphs, the words (a, z) that repeat and
     the id of the document that keeps them. ``docs``: id, h, text."""
     kind = docs.schema["id"].dataType.simpleString()
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "a")
-    units = docs.mapInArrow(_identities, f"u long, id {kind}, h long, a int")
-    counted = units.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    repeated = stored(counted.where(F.col("n") > 1).select("u"), "repeated")
-    rows = docs.select("id", "h", "text").mapInArrow(_bands, "k long, u long")
-    colliding = stored(rows.repartition("k").sortWithinPartitions("k", "u").mapInArrow(_several, "k long, u long"), "colliding")
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 4 * docs.rdd.getNumPartitions()))
+    dealt = docs.select("text").mapInArrow(functools.partial(_deal, buckets), "bucket int, keys binary, units binary, same binary")
+    met, met_path = written(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met, "k long, u long"), "met")
+    colliding, repeated = met.where(F.col("k").isNotNull()), met.where(F.col("k").isNull()).select("u")
     maps = bitmap(colliding, "u"), bitmap(repeated, "u")
-    shape = f"u long, id {kind}, h long, a int, z int, words string, word0 int, word1 int, unit0 long, unit1 long"
-    members = stored(docs.mapInArrow(functools.partial(_members, *maps), shape), "members")
-    texts = members.where(F.col("words").isNotNull()).groupBy("u").agg(F.min("words").alias("words")).join(colliding.select("u").distinct(), "u", "left_semi")
-    buckets = spread_large(colliding.select(F.lit(0).cast("long").alias("t"), "k", "u"), "u", bucket).join(texts, "u")
+    shape = f"u long, id {kind}, h long, a int, z int, shingles binary, word0 int, word1 int, unit0 long, unit1 long"
+    members, members_path = written(docs.mapInArrow(functools.partial(_members, *maps), shape), "members")
+    texts = members.where(F.col("shingles").isNotNull()).groupBy("u").agg(F.first("shingles").alias("shingles")).join(colliding.select("u").distinct(), "u", "left_semi")
+    buckets = spread_large(_once(colliding).select(F.lit(0).cast("long").alias("t"), "k", "u"), "u", bucket).join(texts, "u")
     links = buckets.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_verified, "a long, b long").distinct()
     clusters = connected_components(links).select(F.col("node").alias("u"), F.col("root").alias("c"))
-    placed = stored(members.drop("words").join(clusters, "u", "left").withColumn("c", F.coalesce("c", "u")), "placed")
+    placed, placed_path = written(members.drop("shingles").join(clusters, "u", "left").withColumn("c", F.coalesce("c", "u")), "placed")
     row = F.struct(place.alias("place"), "a", "z", "word0", "word1", "unit0", "unit1")
     first = placed.groupBy("c").agg(F.min_by(row, place).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
     first = stored(first, "first")  # a plain join side: a cluster of many rows may be split
-    later = stored(placed.join(first, "c").where(place != F.col("first.place")).withColumn("keep_id", F.col("first.place.id")).drop("u", "c"), "later")
+    same = F.col("id").eqNullSafe(F.col("first.place.id")) & (F.col("h") == F.col("first.place.h"))
+    stays = same & (F.col("a") < F.col("first.z")) & (F.col("z") > F.col("first.a"))
+    later = stored(placed.join(first, "c").where(~stays).withColumn("keep_id", F.col("first.place.id")).drop("u", "c"), "later")
+    for done_with in (met_path, members_path, placed_path):
+        delete(docs.sparkSession, done_with)
     spans = later.select("id", "h", "a", "z", "keep_id").unionByName(_extensions(docs, later, kind, around))
     return spans.groupBy("id", "h").agg(F.sort_array(F.collect_set(F.struct("a", "z", "keep_id"))).alias("spans"))
 
@@ -435,54 +529,50 @@ def cut_out(text: str, spans: list[tuple[int, int, object]], passage: int = PASS
     return "".join(out).rstrip() if at == len(text) else "".join(out), [(a, z) for a, z, _ in long], keepers
 
 
-def _cut(key_type: str, passage: int, batches):
+def _cut(names: tuple[str, ...], passage: int, batches):
+    text, spans, id_col, cuts, kept_by = names
     for b in batches:
-        out = [cut_out(t or "", [(s["a"], s["z"], s["keep_id"]) for s in spans], passage) for t, spans in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist())]
+        out = [cut_out(t or "", [(s["a"], s["z"], s["keep_id"]) for s in found or ()], passage) for t, found in zip(b.column(text).to_pylist(), b.column(spans).to_pylist())]
         span = pa.list_(pa.struct([("a", pa.int32()), ("z", pa.int32())]))
-        cuts = pa.array([[{"a": a, "z": z} for a, z in x[1]] for x in out], span)
-        left = b.drop_columns(["__text", "__spans"])
-        kept = pa.array([x[2] for x in out], pa.list_(left.schema.field("__key").type))
-        yield pa.RecordBatch.from_arrays([*left.columns, pa.array([x[0] for x in out], pa.string()), cuts, kept], names=[*left.schema.names, "__text", "__cuts", "__kept_by"])
-
+        new = {
+            text: pa.array([was if not o[1] else o[0] for was, o in zip(b.column(text).to_pylist(), out)], pa.string()),
+            cuts: pa.array([[{"a": a, "z": z} for a, z in o[1]] for o in out], span),
+            kept_by: pa.array([o[2] for o in out], pa.list_(b.schema.field(id_col).type)),
+        }
+        columns = [n for n in b.schema.names if n != spans]
+        yield pa.RecordBatch.from_arrays([*(new.get(n, b.column(n)) for n in columns), new[cuts], new[kept_by]], names=[*columns, cuts, kept_by])
 
-def _side(bits, wanted: bool, batches):
-    for b in batches:
-        found = maybe(bits.value, b.column("__doc").to_numpy(zero_copy_only=False).view(np.uint64))
-        yield b.filter(pa.array(found == wanted))
 
+def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, bucket: int = BUCKET) -> tuple[DataFrame, str, str]:
+    """The input's rows and columns with repeated passages cut from the text, and the names of two more
+    columns: the word spans cut, and the ids of the documents that keep the passages.
 
-def without_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, bucket: int = BUCKET) -> DataFrame:
-    """The input's rows and columns with repeated passages cut from the text, and __cuts (word
-    spans) and __kept_by (ids of the documents that keep the passages)."""
-    spark = df.sparkSession
-    small_batches(spark)
+    Only documents that may have a removal cross to Python; the others stay where they are."""
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("text"))
     found = stored(removals(docs, bucket).withColumn("doc", F.xxhash64("id", "h")), "removals")
-    bits = bitmap(found.select("doc"), "doc")
+    text_hash, spans, gone_id, gone_hash, cuts, kept_by = fresh(df, "text_hash", "spans_", "gone_id", "gone_hash", "cuts", "kept_by")
+    keyed = df.withColumn(text_hash, F.xxhash64(text_of(text_col)))
+    maybe_cut, clean = split(keyed, F.xxhash64(F.col(id_col), F.col(text_hash)), found.select(F.col("doc").alias(fresh(keyed, "doc")[0])))
+    gone = found.select(F.col("id").alias(gone_id), F.col("h").alias(gone_hash), F.col("spans").alias(spans))
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.col(text_hash) == F.col(gone_hash))
+    ready = maybe_cut.join(gone.hint("shuffle_hash"), same, "left").select(*(f"`{c}`" for c in df.columns), spans)
     kind = df.schema[id_col].dataType.simpleString()
-    keyed = df.withColumns({"__h": F.xxhash64(text_of(text_col)), "__key": F.col(id_col)}).withColumn("__doc", F.xxhash64("__key", "__h"))
-    clean = keyed.mapInArrow(functools.partial(_side, bits, False), keyed.schema)
-    touched = keyed.mapInArrow(functools.partial(_side, bits, True), keyed.schema)
-    spans = found.select(F.col("id").alias("__id"), F.col("h").alias("__hh"), F.col("spans").alias("__spans"))
-    none = F.array().cast(spans.schema["__spans"].dataType)
-    joined = touched.join(spans.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hh")), "left").drop("__id", "__hh", "__doc")
-    ready = joined.withColumn("__spans", F.coalesce("__spans", none)).withColumnRenamed(text_col, "__text")
-    rest = [f for f in ready.schema.fields if f.name not in ("__text", "__spans")]
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", __text string, __cuts array<struct<a:int,z:int>>, __kept_by array<{kind}>"
-    cut = ready.select(*(f"`{f.name}`" for f in rest), "__text", "__spans").mapInArrow(functools.partial(_cut, kind, passage), shape).withColumnRenamed("__text", text_col)
-    plain = clean.withColumns({"__cuts": F.array().cast("array<struct<a:int,z:int>>"), "__kept_by": F.array().cast(f"array<{kind}>")})
-    columns = [*df.columns, "__cuts", "__kept_by"]
-    return plain.select(*columns).unionByName(cut.select(*columns))
+    kinds = ("array<struct<a:int,z:int>>", f"array<{kind}>")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{cuts}` {kinds[0]}, `{kept_by}` {kinds[1]}"
+    cut = ready.mapInArrow(functools.partial(_cut, (text_col, spans, id_col, cuts, kept_by), passage), shape)
+    plain = clean.drop(text_hash).withColumns({n: F.array().cast(k) for n, k in zip((cuts, kept_by), kinds)})
+    return plain.unionByName(cut), cuts, kept_by
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: id, n_removed_words, spans (words from a to z), kept_by (ids), text."""
-    out = without_passages(df.select(id_col, text_col), id_col, text_col, **options)
-    removed = F.aggregate("__cuts", F.lit(0).cast("long"), lambda n, s: n + s["z"] - s["a"])
-    return out.select(id_col, removed.alias("n_removed_words"), F.col("__cuts").alias("spans"), F.col("__kept_by").alias("kept_by"), text_col)
+    out, cuts, kept_by = without_passages(df.select(id_col, text_col), id_col, text_col, **options)
+    removed = F.aggregate(cuts, F.lit(0).cast("long"), lambda n, s: n + s["z"] - s["a"])
+    return out.select(id_col, removed.alias("n_removed_words"), F.col(cuts).alias("spans"), F.col(kept_by).alias("kept_by"), text_col)
 
 
 def keep_rest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The input's columns with the texts' rest; a document that was nothing but passages goes."""
-    out = without_passages(df, id_col, text_col, **options)
-    return out.where((F.size("__cuts") == 0) | (F.length(F.btrim(F.col(text_col), F.lit(" \t\n\r"))) > 0)).drop("__cuts", "__kept_by")
+    out, cuts, kept_by = without_passages(df, id_col, text_col, **options)
+    return out.where((F.size(cuts) == 0) | (F.length(F.btrim(F.col(text_col), F.lit(" \t\n\r"))) > 0)).drop(cuts, kept_by)

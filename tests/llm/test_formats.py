@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import random
 import time
 
@@ -56,6 +57,44 @@ def test_conversations(spark):
     assert out[2].turns_sha256 == digest("user\né\n\n") and C.message_records(df.where("false")).count() == 0
 
 
+def test_records_without_a_mapping_keep_a_row(spark):
+    rows = [("a", json.dumps({"messages": [{"role": "human", "content": "q"}, {"role": "model", "content": "a"}]})), ("b", "{"), ("c", json.dumps({"x": 1})), ("d", None)]
+    out = {r.key: r for r in C.digests_of(C.chat_format(spark.createDataFrame(rows, "key string, record string"), "key", "record"), "key").collect()}
+    assert set(out) == {"a", "b", "c", "d"} and out["b"].n_turns is None and out["d"].turns_sha256 is None
+    # messages keep the roles that they give
+    assert out["a"].turns_sha256 == hashlib.sha256(b"human\nq\nmodel\na\n").hexdigest() and out["a"].loss_chars == 0
+    assert C.chat_format(spark.createDataFrame([], "key string, record string"), "key", "record").count() == 0
+
+
+def plain_chat(rows):
+    """conv_id -> (turns, digest of turns, loss) by sorting and joining."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        convs.setdefault(conv, []).append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for conv, turns in convs.items():
+        turns.sort()
+        said = "".join(f"{r}\n{t}\n" for _, _, r, t in turns)
+        loss = "".join(t for _, _, r, t in turns if r == "assistant")
+        digest = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest()
+        out[conv] = (len(turns), digest(said), len(loss), digest(loss))
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are not here")
+def test_registered_chat_query(spark):
+    """The query, conversation -7 included, against a plain version."""
+    from pagewright.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    rows += [(-7, 0, "user", queries.INST), (-7, 1, "assistant", queries.INST)]
+    out = queries.op5_chat_format(spark, sf).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in out} == plain_chat(rows) and len(out) == len(plain_chat(rows))
+    own = next(r for r in out if r.conv_id == -7)
+    assert (own.n_turns, own.loss_chars) == (2, len(queries.INST))
+
+
 LONG = "A long paragraph, with commas, that tells what happened in the town on that day, and why it mattered to all of them."
 PAGES = {
     "article": (f"<body><nav><a href=/>Home</a></nav><div class='ad'>Buy</div><article><h1>Title</h1><p>{LONG}<p><b>{LONG}<br>x</b></article><footer>&copy; us</footer></body>", f"Title {LONG} {LONG} x"),
@@ -201,6 +240,28 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in out} == set(kept[3])
 
 
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_of_hard_and_empty_tables(spark, hard, tmp_path):
+    """Nulls, repeats, very long texts and columns of clashing names; no rows at all."""
+    import corpus_pipeline
+
+    filler = " the of and to in a is that it was for on "
+    good = [(50 + i, filler + " ".join(f"word{i * 100 + k}" for k in range(1, 40)), None, None, None) for i in range(4)]
+    rows = spark.createDataFrame([*good, good[0], (None, good[1][1], None, "s", 3), (None, None, None, None, None)], DOCUMENTS)
+    taken = ("text_hash", "row_key", "gone_id", "gone_hash", "gone_digest", "digest", "slot", "bits", "place", "spans_", "cuts", "kept_by", "doc", "quality", "__id", "__h", "__key", "id", "h")
+    docs = rows.unionByName(hard.select("doc_id", "text", "lang", "source", "n_chars")).selectExpr("*", *(f"'x' AS `{c}`" for c in taken))
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    ids = [r.doc_id for r in docs.collect()]
+    assert ids.count(50) == 1 and {51, 52, 53} <= set(ids) and all(r.digest == "x" and r.cuts == "x" for r in docs.collect())
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
 def test_batches_are_bound_by_bytes(spark):
     from pagewright.llm.shared import ARROW_BYTES, small_batches
 
