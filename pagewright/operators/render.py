@@ -209,6 +209,16 @@ def xml_rows(combined: DataFrame) -> DataFrame:
     return rows.withColumns({"xml": markup, "ragged": F.exists("shown", lambda c: c.isNull())})
 
 
+RAGGED = "a row has fewer cells than the table has columns"
+
+
+def xml_opening(widths: Column) -> Column:
+    """What stands in a ``w:tbl`` before its rows."""
+    total = F.aggregate(widths, F.lit(0).cast("long"), lambda a, w: a + w)
+    grid = F.array_join(F.transform(widths, lambda w: F.format_string('<w:gridCol w:w="%d"/>', w)), "")
+    return F.concat(F.lit(f'<w:tbl xmlns:w="{W_NS}"><w:tblPr><w:tblW w:w="'), total.cast("string"), F.lit('" w:type="dxa"/></w:tblPr><w:tblGrid>'), grid, F.lit("</w:tblGrid>"))
+
+
 def xml_tables(combined: DataFrame, item: Sequence[str] = ("doc_id",), text_width: str | None = None) -> DataFrame:
     """(item, xml, error): a ``w:tbl`` for each item, as wide as its column ``text_width`` says in
     twips, if one is given. A table with a row too short for its columns has no xml but an error."""
@@ -217,14 +227,9 @@ def xml_tables(combined: DataFrame, item: Sequence[str] = ("doc_id",), text_widt
         _joined("header", "xml").alias("head"), _joined("data", "xml").alias("body"),
         F.first("shown_widths").alias("w"), F.max("ragged").alias("ragged"), F.first(given).alias("given"),
     )
-    parts = parts.withColumn("w", scale_widths(F.col("w"), F.col("given")))
-    total = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + w)
-    grid = F.array_join(F.transform("w", lambda w: F.format_string('<w:gridCol w:w="%d"/>', w)), "")
-    table = F.concat(
-        F.lit(f'<w:tbl xmlns:w="{W_NS}"><w:tblPr><w:tblW w:w="'), total.cast("string"), F.lit('" w:type="dxa"/></w:tblPr><w:tblGrid>'), grid,
-        F.lit("</w:tblGrid>"), F.col("head"), F.col("body"), F.lit("</w:tbl>"),
-    )
-    return parts.select(*item, F.when(~F.col("ragged"), table).alias("xml"), F.when(F.col("ragged"), "a row has fewer cells than the table has columns").alias("error"))
+    opening = xml_opening(scale_widths(F.col("w"), F.col("given")))
+    table = F.concat(opening, F.col("head"), F.col("body"), F.lit("</w:tbl>"))
+    return parts.select(*item, F.when(~F.col("ragged"), table).alias("xml"), F.when(F.col("ragged"), RAGGED).alias("error"))
 
 
 def output_xml(pages: DataFrame, rows: DataFrame, selections: DataFrame, item: Sequence[str] = ("row_id", "doc_id"), text_width: str | None = None) -> DataFrame:

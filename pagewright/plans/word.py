@@ -269,7 +269,7 @@ SELECT 't.docx' AS docx_id, sha256('<?xml version=''1.0'' encoding=''UTF-8''?>'
 @query(DOCUMENT_SQL)
 def generate_docx(spark, sf_dir):
     """The whole text of the written document."""
-    return hashed(docx.document_xml(documents(spark, sf_dir)), "xml", "docx_id")
+    return docx.part_digests(documents(spark, sf_dir)).where(F.col("part") == docx.DOCUMENT).select("docx_id", F.col("data_sha256").alias("xml_sha256"))
 
 
 @query(
@@ -280,7 +280,7 @@ UNION ALL SELECT 't.docx', '[Content_Types].xml', sha256('<?xml version=''1.0''
 )
 def generate_docx_parts(spark, sf_dir):
     """The pictures, relationships and content types of the written document."""
-    return hashed(docx.parts(documents(spark, sf_dir)), "data", "docx_id", "part").where("part <> 'word/document.xml'")
+    return docx.part_digests(documents(spark, sf_dir)).where(F.col("part") != docx.DOCUMENT)
 
 
 UNREAD_HINT = "The RTF file may be malformed or use unsupported SAS ODS features. Try opening it in a text editor to inspect the structure."
