@@ -69,16 +69,16 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     return _named(files).select("doc_id", "path", decoded(F.col("content")).alias("text"))
 
 
-def lexed_rows(doc_id, text: str | None, decode_escapes: bool) -> list[dict]:
-    """A row for each page, or one that tells the error."""
+def lexed_rows(doc_id, text: str | None, decode_escapes: bool, form=dict) -> list:
+    """A row for each page, or one that tells the error; each is brought into a form before the next
+    page is parsed."""
+    found = []
     try:
-        pages = lexer.parse_report(text or "", decode_escapes)
+        for n, p in enumerate(lexer.parse_pages(text or "", decode_escapes), 1):
+            found.append(form({"doc_id": doc_id, "page_no": n, "parameter": p["parameter"], "rows": [{"row_no": k, **r} for k, r in enumerate(p["rows"], 1)], "error": None}))
     except lexer.LexError as e:
-        return [{"doc_id": doc_id, "page_no": None, "parameter": None, "rows": [], "error": f"{e.stage}: {e}"}]
-    return [
-        {"doc_id": doc_id, "page_no": n, "parameter": p["parameter"], "rows": [{"row_no": k, **r} for k, r in enumerate(p["rows"], 1)], "error": None}
-        for n, p in enumerate(pages, 1)
-    ]
+        return [form({"doc_id": doc_id, "page_no": None, "parameter": None, "rows": [], "error": f"{e.stage}: {e}"})]
+    return found
 
 
 class _Columns:
@@ -110,16 +110,19 @@ class _Columns:
         return pa.RecordBatch.from_arrays([own[n] for n in LEXED.names], schema=LEXED)
 
 
+def _batch(page: dict) -> pa.RecordBatch:
+    columns = _Columns()
+    columns.add(page)
+    return columns.batch()
+
+
 def _lex(decode_escapes: bool, mark_empty: bool, batches):
     for b in batches:
-        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            columns, rows = _Columns(), lexed_rows(doc_id, text, decode_escapes)
-            if mark_empty and not rows:
-                rows = [{"doc_id": doc_id, "page_no": 0, "parameter": None, "rows": [], "error": None}]
-            for row in rows:
-                columns.add(row)
-            if rows:
-                yield columns.batch()
+        for doc_id, text in zip(b.column("doc_id"), b.column("text")):
+            pages = lexed_rows(doc_id.as_py(), text.as_py(), decode_escapes, _batch)
+            if mark_empty and not pages:
+                pages = [_batch({"doc_id": doc_id.as_py(), "page_no": 0, "parameter": None, "rows": [], "error": None})]
+            yield from pages
 
 
 def lex(texts: DataFrame, decode_escapes: bool = False, mark_empty: bool = False) -> DataFrame:
