@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.arrow import ARROW_BYTES, ARROW_ROWS, small_batches
 from pagewright.scratch import delete, scratch_path, stored, written
 
-__all__ = ["delete", "fresh", "let", "scratch_path", "small_batches", "stored", "text_of", "written"]
-
-ARROW_ROWS = 512
-ARROW_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, by rows and, for very long texts, by bytes. A setting of the
-    session: a lower one stays, and nothing but the size of batches depends on it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "delete", "fresh", "let", "scratch_path", "small_batches", "stored", "text_of", "written"]
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -267,7 +267,7 @@ def text_widths(templates: DataFrame) -> DataFrame:
     return document_xml(templates).select("docx_id", emu.alias("emu")).withColumn("twips", emu_to_twips("emu"))
 
 
-#: Characters of markup in a piece of a table, and bytes in one of a picture: 10,000 of them, an Arrow batch, are small.
+#: Characters of markup in a piece of a table, and bytes in one of a picture.
 PIECE = 1 << 14
 TABLE = f'<w:tbl xmlns:w="{W_NS}">'
 PIECES = (

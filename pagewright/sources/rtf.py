@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from pagewright import schema
+from pagewright.arrow import small_batches
 from pagewright.functions.text import strip_extension
 from pagewright.scratch import stored
 from pagewright.sources import lexer
@@ -129,6 +130,7 @@ def lex(texts: DataFrame, decode_escapes: bool = False, mark_empty: bool = False
     """Pages with their rows, from (doc_id, text). A report that cannot be read is one row whose
     ``page_no`` is null and whose ``error`` tells why; the job goes on. With ``mark_empty``, one
     without pages is a row whose ``page_no`` is 0."""
+    small_batches(texts.sparkSession)
     rows = texts.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text"))
     return rows.mapInArrow(functools.partial(_lex, decode_escapes, mark_empty), schema.LEXED)
 
@@ -202,6 +204,7 @@ def images(texts: DataFrame) -> DataFrame:
     """(doc_id, png, width_twips, height_twips): the first picture of each report that has any PNG
     mark. The digits are what follows the picture's last control word; png is null where nothing
     can be extracted."""
+    small_batches(texts.sparkSession)
     marked = texts.where(is_image("text")).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     found = marked.mapInArrow(_pictures, "doc_id string, picture string")
 
