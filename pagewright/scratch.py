@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Part of the driver's heap limit beyond which its garbage is collected when a table is written.
+HEAP_GROWN = 0.6
 _open: list[list[str]] = []
 
 
@@ -62,6 +64,14 @@ def scratch(spark: SparkSession):
             delete(spark, path)
 
 
+def _room(spark: SparkSession) -> None:
+    """Gives memory that the driver's heap has grown into back: plans and task figures of the queries
+    that are over are garbage, but a heap near its limit is only filled, not made smaller."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() > runtime.maxMemory() * HEAP_GROWN:
+        spark.sparkContext._jvm.java.lang.System.gc()
+
+
 @contextlib.contextmanager
 def _no_shuffle_left(spark: SparkSession):
     """What a query inside shuffles is deleted when it ends, not when the driver happens to collect
@@ -81,6 +91,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch_path(spark, name)
     with _no_shuffle_left(spark):
         df.write.option("compression", "zstd").parquet(path)
+    _room(spark)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -37,3 +37,18 @@ def test_shuffle_files_go_with_the_write(spark):
     was = spark.conf.get(scratch.CLEANUP)
     kept = scratch.stored(spark.range(1000).repartition(7, "id"), "dealt")
     assert spark.conf.get(scratch.CLEANUP) == was and kept.count() == 1000 and kept.count() == 1000
+
+
+def test_a_grown_heap_is_given_back(spark, monkeypatch):
+    """pipeline: what queries left in the driver is collected when a table is written, if the heap has grown."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+
+    def collections() -> int:
+        before = sum(b.getCollectionCount() for b in beans if "Old" in b.getName())
+        scratch.stored(spark.range(3), "some")
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName()) - before
+
+    monkeypatch.setattr(scratch, "HEAP_GROWN", 0.0)
+    assert collections() > 0
+    monkeypatch.setattr(scratch, "HEAP_GROWN", 1.0)
+    assert collections() == 0
